@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import castore, crossparse, decontam, editcount, histsort, packing, quality, replytree
+from lexiforge.llm import castore, crossparse, decontam, editcount, histsort, packing, quality, replytree, setsketch
 from lexiforge.llm.common import read_table
 
 
@@ -28,6 +28,11 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = setsketch.near_duplicates(read_table(spark, sf_dir, "documents"), k=2)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = crossparse.fold_of() == 2
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_templates": op3_templates,
     "op5_histogram_sort": op5_histogram_sort,
+    "op6_setsketch": op6_setsketch,
     "op7_cross_parsing": op7_cross_parsing,
     "op8_store": op8_store,
     "op9_edit_counts": op9_edit_counts,
