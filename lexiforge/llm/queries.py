@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import castore, crossparse, decontam, editcount, histsort, packing, quality, replytree, setsketch
+from lexiforge.llm import castore, crossparse, decontam, editcount, histsort, lpf, packing, quality, replytree, setsketch
 from lexiforge.llm.common import read_table
 
 
@@ -22,6 +22,12 @@ def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    judged = lpf.judge_texts(docs).select("tid", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid")).join(judged, "tid").drop("tid")
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = histsort.histogram_sort(read_table(spark, sf_dir, "documents"), key="doc_id")
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -66,6 +72,7 @@ QUERIES = {
     "op1_fertility": op1_fertility,
     "op2_packing": op2_packing,
     "op3_templates": op3_templates,
+    "op4_repeats": op4_repeats,
     "op5_histogram_sort": op5_histogram_sort,
     "op6_setsketch": op6_setsketch,
     "op7_cross_parsing": op7_cross_parsing,
