@@ -10,9 +10,12 @@ file of recipes has a root of its own, and the manifest holds the root of all.
 Reading back joins recipes and chunks, checks every chunk against its address
 and every document against its root, and fails on the first mismatch.
 
-Layout of a store folder (Parquet): ``chunks`` (address, n, ids), ``recipes``
-(doc_id, start, n_tokens, root, chunks), ``manifest`` (part, n_docs, n_tokens,
-root).  Ids are little-endian, of two bytes where the vocabulary allows it.
+Layout of a store folder (Parquet): ``stored/kind=chunk`` (address, ids),
+``recipes`` (doc_id, start, n_tokens, root, chunks), ``manifest`` (part, n_docs,
+n_tokens, root).  The ids of a chunk are little-endian, of two bytes where the
+vocabulary allows it, in a zstandard frame; the address is the hash of the
+bytes before compression.  Chunks lie in buckets by address, so reading back
+moves recipes to the chunks and chunk bytes only once, to their documents.
 
 Defined results: a null text is empty and holds only the end id; repeated rows
 share one content and keep a recipe each (ties by content hash); an empty
@@ -33,7 +36,7 @@ from lexiforge.llm.common import blocks, new_path, release, vocabulary_path
 _GEAR = np.random.default_rng(8).integers(0, 2**63, 1 << 16, dtype=np.uint64)
 
 
-def cut_points(ids: np.ndarray, window: int = 16, mask_bits: int = 8, least: int = 64, most: int = 2048) -> list[int]:
+def cut_points(ids: np.ndarray, window: int = 16, mask_bits: int = 9, least: int = 128, most: int = 4096) -> list[int]:
     """Ends of the chunks of an id stream.
 
     The rolling hash of the ids up to a place is a sum over the last ``window``
@@ -73,74 +76,96 @@ def address_of(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def write_store(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, vocabulary: str | None = None, width: str = "<u2", **cuts) -> None:
-    """Encode ``df`` and write the store under ``path`` (a folder all executors share)."""
+def _stored(df: DataFrame, doc_id: str, text: str, end_id: int, vocab: str, width: str, cuts: dict) -> DataFrame:
+    """One row per chunk (kind chunk) and document (kind recipe, under an address of its own)."""
     import pyarrow as pa
 
-    spark, vocab = df.sparkSession, vocabulary or vocabulary_path("word_bpe_49k.json")
-
     def run(batches):
-        memo = wordcodes.loaded(wordcodes.BpeWords, vocab)
+        import zstandard
+        from pyspark import TaskContext
+
+        memo, squeeze = wordcodes.loaded(wordcodes.BpeWords, vocab), zstandard.ZstdCompressor(3).compress
+        task, n_docs = TaskContext.get().partitionId(), 0
         for batch in batches:
-            keys, texts = batch.column(0), [t or b"" for t in batch.column(1).to_pylist()]
+            keys, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
             for s, e in blocks([len(t) for t in texts], 4_000_000):
                 ids, edges = memo.encode(texts[s:e])
-                out = ([], [], [], [])
+                told, chunk_rows, recipes = set(), ([], []), ([], [], [], [], [])
                 for i in range(e - s):
                     own = np.append(ids[edges[i] : edges[i + 1]], np.uint32(end_id))
                     data, ends = own.astype(width), cut_points(own, **cuts)
-                    parts = [data[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-                    names = [address_of(p) for p in parts]
-                    for col, x in zip(out, (len(own), merkle_root(names), names, parts), strict=True):
+                    names = []
+                    for a, b in zip([0, *ends], ends, strict=False):
+                        part = data[a:b].tobytes()
+                        name = address_of(part)
+                        names.append(name)
+                        if name not in told:  # copies within the block need not travel
+                            told.add(name)
+                            chunk_rows[0].append(name)
+                            chunk_rows[1].append(squeeze(part))
+                    place = task.to_bytes(6, "big") + n_docs.to_bytes(6, "big")
+                    n_docs += 1
+                    for col, x in zip(recipes, (place, keys[s + i], len(own), merkle_root(names), names), strict=True):
                         col.append(x)
+                n, m = len(chunk_rows[0]), len(recipes[0])
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(s, e - s), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.binary())), pa.array(out[3], pa.list_(pa.binary()))],
-                    names=["doc_id", "n_tokens", "root", "chunks", "parts"],
-                )
-
-    source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
-    encoded = source.mapInArrow(run, "doc_id long, n_tokens long, root binary, chunks array<binary>, parts array<binary>")
-    held = f"{path}/encoded"
-    encoded.write.option("compression", "zstd").parquet(held)
-    encoded = spark.read.parquet(held)
-
-    # chunks: once each; the partial aggregate folds copies before the exchange
-    pieces = encoded.select(F.explode(F.arrays_zip("chunks", "parts")).alias("x")).select(F.col("x.chunks").alias("address"), F.col("x.parts").alias("ids"))
-    size = np.dtype(width).itemsize
-    pieces.groupBy("address").agg(F.first("ids").alias("ids")).select("address", (F.octet_length("ids") / size).cast("int").alias("n"), "ids").write.option("compression", "zstd").parquet(f"{path}/chunks")
-
-    # recipes: ascending documents; where each starts follows from the sizes of the ranges before it
-    parts = max(1, encoded.rdd.getNumPartitions())
+                    [
+                        pa.array(chunk_rows[0] + recipes[0], pa.binary()), pa.array(["chunk"] * n + ["recipe"] * m), pa.array(chunk_rows[1] + [None] * m, pa.binary()),
+                        pa.array([None] * n + recipes[1], pa.int64()), pa.array([None] * n + recipes[2], pa.int64()), pa.array([None] * n + recipes[3], pa.binary()), pa.array([None] * n + recipes[4], pa.list_(pa.binary())),
+                    ],
+                    names=["address", "kind", "ids", "doc_id", "n_tokens", "root", "chunks"],
+                )
+
+    source = df.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string").cast("binary"))
+    rows = source.mapInArrow(run, "address binary, kind string, ids binary, doc_id long, n_tokens long, root binary, chunks array<binary>")
+    # the partial aggregate folds copies before the exchange
+    kept = [F.first(c).alias(c) for c in ("ids", "doc_id", "n_tokens", "root", "chunks")]
+    return rows.groupBy("address", "kind").agg(*kept)
+
+
+def _table_of(path: str) -> str:
+    return "castore_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def write_store(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, vocabulary: str | None = None, width: str = "<u2", **cuts) -> None:
+    """Encode ``df`` and write the store under ``path`` (a folder all executors share)."""
+    import pyarrow as pa
+
+    spark, vocab = df.sparkSession, vocabulary or vocabulary_path("word_bpe_49k.json")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = _stored(df, doc_id, text, end_id, vocab, width, cuts)
+    writer = stored.write.format("parquet").option("compression", "zstd").option("path", f"{path}/stored")
+    writer.partitionBy("kind").bucketBy(parts, "address").sortBy("address").saveAsTable(_table_of(path))
+    recipes = spark.table(_table_of(path)).where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "chunks")
+
+    # ascending documents; where each starts follows from the sizes of the ranges before it
     order = ["doc_id", "root"]
-    ranged = encoded.select("doc_id", "n_tokens", "root", "chunks").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    ranged.write.option("compression", "zstd").parquet(f"{path}/ranges")
-    ranged = spark.read.parquet(f"{path}/ranges")
+    held = f"{path}/ranges"
+    recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(held)
+    ranged = spark.read.schema("doc_id long, n_tokens long, root binary, chunks array<binary>, part int").parquet(held)
     sizes = dict(ranged.groupBy("part").agg(F.sum("n_tokens")).collect())  # one row per range
     starts, at = {}, 0
     for p in sorted(sizes):
         starts[p], at = at, at + sizes[p]
-    if starts:
-        before = F.get(F.lit([starts.get(p, 0) for p in range(max(starts) + 1)]).cast("array<bigint>"), F.col("part"))
-    else:
-        before = F.lit(0).cast("long")
+    before = F.get(F.lit([starts.get(p, 0) for p in range(max(starts, default=0) + 1)]).cast("array<bigint>"), F.col("part"))
     run_up = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    recipes = ranged.select("part", "doc_id", (before + F.coalesce(F.sum("n_tokens").over(run_up), F.lit(0))).alias("start"), "n_tokens", "root", "chunks")
-    recipes.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
+    full = ranged.select("part", "doc_id", (before + F.coalesce(F.sum("n_tokens").over(run_up), F.lit(0))).alias("start"), "n_tokens", "root", "chunks")
+    full.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
 
     def roots(batches):
-        """Root of the documents' roots of each range, folded in blocks."""
+        """Root of the documents' roots of each block of a range."""
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([merkle_root(x) for x in batch.column(3).to_pylist()], pa.binary())],
-                names=["part", "n_docs", "n_tokens", "root"],
+                [batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array([merkle_root(x) for x in batch.column(4).to_pylist()], pa.binary())],
+                names=["part", "block", "n_docs", "n_tokens", "root"],
             )
 
     block = F.floor((F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1) / 4096)
     folded = ranged.select("part", block.alias("block"), "root", "n_tokens", "doc_id").groupBy("part", "block")
     listed = folded.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct(*order))).alias("x"))
-    listed.select("part", "n_docs", "n_tokens", F.col("x.root").alias("root")).mapInArrow(roots, "part int, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/manifest")
-    _drop(spark, f"{path}/encoded")
-    _drop(spark, f"{path}/ranges")
+    manifest = listed.select("part", "block", "n_docs", "n_tokens", F.col("x.root").alias("root")).mapInArrow(roots, "part int, block long, n_docs long, n_tokens long, root binary")
+    manifest.write.parquet(f"{path}/manifest")
+    _drop(spark, held)
     release(spark)
 
 
@@ -149,29 +174,46 @@ def _drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def read_store(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, verified; ids are unsigned little-endian 32-bit."""
+def read_recipes(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, root, chunks) of every document."""
+    return spark.read.schema("doc_id long, start long, n_tokens long, root binary, chunks array<binary>, part int").parquet(f"{path}/recipes").drop("part")
+
+
+def read_contents(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
+    """(root, ids) of every distinct content, verified; ids are unsigned little-endian 32-bit.
+
+    In the session that wrote the store its bucketed table is used; elsewhere
+    the files under ``path``.
+    """
     import pyarrow as pa
 
-    chunks = spark.read.schema("address binary, n int, ids binary").parquet(f"{path}/chunks")
-    recipes = spark.read.schema("doc_id long, start long, n_tokens long, root binary, chunks array<binary>, part int").parquet(f"{path}/recipes").drop("part")
+    known = spark.catalog.tableExists(_table_of(path))
+    stored = spark.table(_table_of(path)) if known else spark.read.parquet(f"{path}/stored")
+    chunks = stored.where("kind = 'chunk'").select("address", "ids")
     # documents of one content share the work; their roots are equal
-    contents = recipes.groupBy("root").agg(F.first("chunks").alias("chunks"))
+    contents = read_recipes(spark, path).groupBy("root").agg(F.first("chunks").alias("chunks"))
     wanted = contents.select("root", F.posexplode("chunks").alias("at", "address"))
     joined = wanted.join(chunks, "address").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "address", "ids"))).alias("x"))
 
     def rebuild(batches):
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             roots, out = batch.column(0).to_pylist(), []
             for root, parts in zip(roots, batch.column(1).to_pylist(), strict=True):
-                names = [p["address"] for p in parts]
-                if merkle_root(names) != root or any(address_of(p["ids"]) != p["address"] for p in parts):
+                data = [expand(p["ids"]) for p in parts]
+                if merkle_root([p["address"] for p in parts]) != root or any(address_of(d) != p["address"] for d, p in zip(data, parts, strict=True)):
                     raise ValueError("the store does not match its manifest")
-                out.append(np.frombuffer(b"".join(p["ids"] for p in parts), width).astype("<u4").tobytes())
+                out.append(np.frombuffer(b"".join(data), width).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["root", "ids"])
 
-    whole = joined.mapInArrow(rebuild, "root binary, ids binary")
-    return recipes.select("doc_id", "start", "n_tokens", "root").join(whole, "root").select("doc_id", "start", "n_tokens", "ids")
+    return joined.mapInArrow(rebuild, "root binary, ids binary")
+
+
+def read_store(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document."""
+    return read_recipes(spark, path).join(read_contents(spark, path, width), "root").select("doc_id", "start", "n_tokens", "ids")
 
 
 def new_store(df: DataFrame, **options) -> str:

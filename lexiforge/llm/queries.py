@@ -48,7 +48,8 @@ def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = castore.new_store(read_table(spark, sf_dir, "documents"))
-    return castore.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    contents = castore.read_contents(spark, path).select("root", F.crc32("ids").alias("ids_crc32"))
+    return castore.read_recipes(spark, path).join(contents, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
