@@ -1,12 +1,72 @@
-"""The corpus pipeline: quality, near copies, repeated passages, leaks, packing."""
+"""The corpus pipeline: quality rules, near copies, repeated passages, leaks, packing.
+
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written
+as Parquet and read again as the next stage's ``docs``.  All but the last give
+the columns of ``documents``.
+
+Defined results: null texts count as empty and go in the first stage (no
+words); rows of one id and one text are one document; documents whose text
+consists of repeats only go with it; an empty table gives an empty result;
+extra columns are carried up to the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiforge.llm import decontam, lpf, packing, quality, setsketch
+from lexiforge.llm.common import read_table, stage
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the fertility bands keep."""
+    judged = quality.fertility(docs.select(*docs.columns, F.struct(*docs.columns).alias("__row")), keep=["__row"])
+    return judged.where("kept").select("__row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the least id, of each group of near copies (five-word shingles, overlap 0.8)."""
+    found = setsketch.near_duplicates(docs, k=5, percent=80)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(stays, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less every later copy of a 400-byte passage; what is left empty goes."""
+    cut = lpf.remove_repeats(docs, keep="first")
+    left = cut.where(F.col("text").isNull() | (F.length("text") > 0))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else left
+
+
+def leaked_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    leaks = decontam.leaks(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stage(leaks, "leaks"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2,048 tokens."""
+    pieces = packing.pack(docs)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_copies),
+    ("repeated passages", repeated_passages),
+    ("benchmark leaks", leaked_benchmarks),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: Tokenisers and suffix order are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
