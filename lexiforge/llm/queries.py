@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm import castore, crossparse, decontam, editcount, histsort, lpf, packing, quality, replytree, setsketch
-from lexiforge.llm.common import read_table
+from lexiforge.llm.common import read_table, stage
 
 
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     edit = lambda at, cut, put: F.struct(F.floor(at).cast("int").alias("at"), F.lit(cut).alias("cut"), F.lit(put).alias("put"))
     edits = F.array(edit(n / 4, 6, "Revised"), edit(n / 2, 0, " (see section 12, below) "), edit(3 * n / 4, 40, ""))
-    trees = editcount.build_trees(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the trees are kept in a table, as they would be between edits
+    trees = stage(editcount.build_trees(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "trees")
     done = editcount.apply_edits(trees.withColumn("edits", edits), keep=["doc_id", "n_tokens"])
     return done.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_leaves", "n_leaves_encoded", "n_chars_encoded", F.crc32(F.col("edited_text").cast("binary")).alias("edited_crc32"))
 
