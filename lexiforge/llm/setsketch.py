@@ -7,18 +7,18 @@ place, and registers agree about as often as the sets overlap.
 
 1. Documents of one set become one node (pre-aggregated, so copies cost
    nothing later).
-2. Bands of registers are hashed; each bucket links its members to its least
-   member.  Pairs that their exact sizes rule out go.
+2. Bands of registers are hashed; each bucket links its members to its hub, the
+   member that meets most others over all bands.  Pairs that their exact sizes rule out go.
 3. The overlap of a pair is estimated by maximum likelihood from how many
    registers are larger, smaller and equal; pairs far below the threshold go.
 4. The rest is verified on the full sets.
 5. Buckets that still hold several components are searched completely, in
    blocks of bounded size, pairs within a component left out; what is found is
    estimated and verified as before.  So no link is lost to the choice of the
-   least member.
+   hub.
 
 With 160 registers in 32 bands of 5, a pair of overlap 0.8 shares no bucket
-with probability 3e-6, and falls below the estimate's floor with less.
+with probability 3e-6, and falls below the estimate's floor with about 6e-5.
 
 Defined results: null and wordless texts have an empty set and link with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows
@@ -181,8 +181,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
 def _cross_pairs(members: DataFrame, percent: int, floor: float, block: int) -> DataFrame:
     """Pairs of different components that share a bucket, by estimate, in blocks of bounded size.
 
-    members: key, node, n, comp, regs, main (is in the component of the bucket's
-    least member).  Members of the main component only meet the others.
+    members: key, band, node, n, comp, regs, main (is in the component of the
+    bucket's hub).  Members of the main component only meet the others; a pair
+    is told in the first band it shares.
     """
     import pandas as pd
 
@@ -192,15 +193,18 @@ def _cross_pairs(members: DataFrame, percent: int, floor: float, block: int) ->
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
     as_row = dealt.where(~F.col("main")).select("*", row.cast("long").alias("i"), spread(F.col("cols")).alias("j"), F.lit(True).alias("in_row"))
     as_col = dealt.select("*", spread(F.col("rows")).alias("i"), col.cast("long").alias("j"), F.lit(False).alias("in_row"))
-    columns = ["key", "i", "j", "node", "n", "comp", "regs", "in_row"]
+    columns = ["key", "i", "j", "band", "node", "n", "comp", "regs", "in_row"]
+    per = REGISTERS // BANDS
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.in_row], pdf[~pdf.in_row]
+        left, right, band = pdf[pdf.in_row], pdf[~pdf.in_row], int(pdf.band.iloc[0])
         regs_l, regs_r = (np.frombuffer(b"".join(x.regs), np.uint16).reshape(-1, REGISTERS) for x in (left, right))
         n_r, comp_r, node_r = right.n.to_numpy(float), right.comp.to_numpy(), right.node.to_numpy()
         found = []
         for node, n, comp, own in zip(left.node, left.n, left.comp, regs_l, strict=True):
             near = np.flatnonzero((comp_r != comp) & (100 * np.minimum(n, n_r) >= percent * np.maximum(n, n_r)) & (node_r != node))
+            if len(near) and band:
+                near = near[~(own == regs_r[near])[:, : band * per].reshape(len(near), band, per).all(2).any(1)]
             if len(near):
                 more, less = (own > regs_r[near]).sum(1), (own < regs_r[near]).sum(1)
                 good = near[estimate(more, less, np.full(len(near), float(n)), n_r[near]) >= floor]
@@ -211,7 +215,7 @@ def _cross_pairs(members: DataFrame, percent: int, floor: float, block: int) ->
     return tasks.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, floor: float = 0.62, block: int = 2048, most_held: int = 2_000_000) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, floor: float = 0.67, block: int = 2048, most_held: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, th) of every row; th is the hash of its text.
 
     Rows whose sets overlap by ``percent`` or more (Jaccard) are linked;
@@ -225,22 +229,27 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     nodes = stage(whole.groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("th").alias("th"), F.first("regs").alias("regs")), "nodes")
     per = 2 * (REGISTERS // BANDS)
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * per + 1, per)) for i in range(BANDS)])
-    banded = nodes.select("node", "n", F.explode(keys).alias("key"))
-    buckets = stage(banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("rep"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "buckets")
-    placed = stage(banded.join(buckets, "key"), "placed")
+    banded = nodes.select("node", "n", F.posexplode(keys).alias("band", "key"))
+    met = stage(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "met")
+    shared = stage(banded.join(met, "key"), "shared")
+    # a node that meets many others in its bands is likely the text the others were made from
+    degree = stage(shared.groupBy("node").agg(F.sum("members").alias("degree")), "degree")
+    known_degree = shared.join(degree, "node").drop("members")
+    hubs = stage(known_degree.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("rep")), "hubs")
+    placed = stage(shared.drop("members").join(hubs, "key"), "placed")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     stars = placed.select(F.col("rep.node").alias("a"), F.col("node").alias("b"), F.col("rep.n").alias("n_a"), F.col("n").alias("n_b")).where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
     links = stage(_verified(_estimated(stars, nodes, floor), docs, nodes, k, percent, most_held), "links")
     first = connected(links)
 
-    # what the least members did not link
+    # what the hubs did not link
     comp = F.coalesce("root", "node")
-    known = placed.join(first, "node", "left").select("key", "node", "n", comp.alias("comp"), F.col("rep.node").alias("rep"))
+    known = placed.join(first, "node", "left").select("key", "band", "node", "n", comp.alias("comp"), F.col("rep.node").alias("rep"))
     torn = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     rest = stage(known.join(torn, "key", "left_semi"), "rest")
     if not rest.isEmpty():
         main = rest.where("node = rep").select("key", F.col("comp").alias("rep_comp"))
-        members = rest.join(main, "key").join(nodes.select("node", "regs"), "node").select("key", "node", "n", "comp", "regs", (F.col("comp") == F.col("rep_comp")).alias("main"))
+        members = rest.join(main, "key").join(nodes.select("node", "regs"), "node").select("key", "band", "node", "n", "comp", "regs", (F.col("comp") == F.col("rep_comp")).alias("main"))
         crossed = stage(_cross_pairs(members, percent, floor, block), "crossed")
         if not crossed.isEmpty():
             sized = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
