@@ -266,7 +266,8 @@ def judge_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
     texts = distinct_texts(df, doc_id, text)
     release(spark)
     runs = stage(_runs(texts, length, gram), "runs")
-    files = runs.groupBy("file").agg(F.count(F.lit(1)).alias("n"), (F.min("content") == F.max("content")).alias("one")).where("n > 1").select("file", "one")
+    # written first: a join of two plain exchanges is split where a file is hot
+    files = stage(runs.groupBy("file").agg(F.count(F.lit(1)).alias("n"), (F.min("content") == F.max("content")).alias("one")).where("n > 1").select("file", "one"), "files")
     met = stage(runs.join(files, "file"), "met")
     classes = stage(met.groupBy("file", "content").agg(F.count(F.lit(1)).alias("n"), F.first("one").alias("one"), F.min(F.struct("ord", "tid", "start", "windows")).alias("least")), "classes")
     # a class with copies is known to repeat; as partners of others all classes of a mixed file are compared
