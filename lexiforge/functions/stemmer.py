@@ -65,30 +65,36 @@ PATTERNS = {
 _R2 = rf"^{_C}*{_V}*{_C}*{_V}*"
 
 
-def _steps(cut, when, longer, unequal, derive) -> list:
+def _steps(cut, first, other, if_other, longer, derive) -> list:
     """The chain of named values, over primitives of the host language.
 
-    Each value is a function of those before it, given by name.
+    Each value is a function of those before it, given by name.  cut(name, x)
+    removes an ending, other(a, b) is a unless it equals b, first(...) the first
+    value there is, if_other(a, b, c) is c unless a equals b, longer(x, n, a) is a
+    for words of n letters or more.
     """
+
+    def ending(v):
+        w, f = v["w"], v["f"]
+        bare = cut("participle", f)
+        return first(
+            other(cut("gerund_after_a", w), w),
+            other(cut("gerund", w), w),
+            longer(f, 6, other(cut("participle_pair", f), f)),
+            longer(f, 5, other(cut("participle_single", f), f)),
+            if_other(bare, f, other(cut("adjective", bare), bare)),
+            other(cut("adjective", f), f),
+            other(cut("verb_after_a", f), f),
+            other(cut("verb", f), f),
+            cut("noun", f),
+        )
+
     return [
-        ("g1", lambda v: cut("gerund_after_a", v["w"])),
-        ("g", lambda v: when(unequal(v["g1"], v["w"]), v["g1"], cut("gerund", v["w"]))),
         ("f", lambda v: cut("reflexive", v["w"])),
-        ("pair", lambda v: when(longer(v["f"], 6), cut("participle_pair", v["f"]), v["f"])),
-        ("single", lambda v: when(unequal(v["pair"], v["f"]), v["pair"], when(longer(v["f"], 5), cut("participle_single", v["f"]), v["f"]))),
-        ("p", lambda v: cut("participle", v["f"])),
-        ("bare", lambda v: cut("adjective", v["p"])),
-        ("a0", lambda v: when(unequal(v["single"], v["f"]), v["single"], when(unequal(v["p"], v["f"]), when(unequal(v["bare"], v["p"]), v["bare"], v["f"]), v["f"]))),
-        ("a", lambda v: when(unequal(v["a0"], v["f"]), v["a0"], cut("adjective", v["f"]))),
-        ("v1", lambda v: when(unequal(v["a"], v["f"]), v["a"], cut("verb_after_a", v["f"]))),
-        ("v", lambda v: when(unequal(v["v1"], v["f"]), v["v1"], cut("verb", v["f"]))),
-        ("n", lambda v: when(unequal(v["v"], v["f"]), v["v"], cut("noun", v["f"]))),
-        ("one", lambda v: when(unequal(v["g"], v["w"]), v["g"], v["n"])),
-        ("i", lambda v: cut("final_i", v["one"])),
+        ("i", lambda v: cut("final_i", ending(v))),
         ("d", lambda v: derive(v["i"], v["w"])),
         ("s", lambda v: cut("superlative", v["d"])),
-        ("u", lambda v: cut("undouble", v["s"])),
-        ("e", lambda v: when(unequal(v["s"], v["d"]), v["u"], cut("soft_sign", v["u"]))),
+        ("e", lambda v: first(if_other(v["s"], v["d"], cut("undouble", v["s"])), cut("soft_sign", cut("undouble", v["s"])))),
     ]
 
 
@@ -102,9 +108,10 @@ def stem(word: Column) -> Column:
 
     chain = _steps(
         cut=lambda name, x: F.regexp_replace(x, PATTERNS[name], "$1"),
-        when=lambda cond, a, b: F.when(cond, a).otherwise(b),
-        longer=lambda x, n: F.char_length(x) >= n,
-        unequal=lambda a, b: a != b,
+        first=F.coalesce,
+        other=F.nullif,
+        if_other=lambda a, b, c: F.when(a != b, c),
+        longer=lambda x, n, a: F.when(F.char_length(x) >= n, a),
         derive=derive,
     )
 
@@ -138,9 +145,10 @@ def sql_chain(words: str) -> str:
 
     chain = _steps(
         cut=lambda name, x: f"regexp_replace({x}, '{PATTERNS[name]}', '\\1')",
-        when=lambda cond, a, b: f"CASE WHEN {cond} THEN {a} ELSE {b} END",
-        longer=lambda x, n: f"length({x}) >= {n}",
-        unequal=lambda a, b: f"{a} <> {b}",
+        first=lambda *x: f"coalesce({', '.join(x)})",
+        other=lambda a, b: f"nullif({a}, {b})",
+        if_other=lambda a, b, c: f"CASE WHEN {a} <> {b} THEN {c} END",
+        longer=lambda x, n, a: f"CASE WHEN length({x}) >= {n} THEN {a} END",
         derive=derive,
     )
     names = {"w": "w"} | {name: name for name, _ in chain}
