@@ -110,13 +110,14 @@ def find_splitters(keyed: DataFrame, goals: list[tuple[int, float]], bits: int =
     return sorted(found.values())
 
 
-def histogram_sort(df: DataFrame, key: str, text: str = "text", shards: int = 24, tolerance: float = 0.0, cells: int = 8, overhead: int = 8) -> DataFrame:
+def histogram_sort(df: DataFrame, key: str, text: str = "text", shards: int = 24, tolerance: float = 0.0, cells: int | None = None, overhead: int = 8, range_bytes: int = 48 << 20) -> DataFrame:
     """``df`` in ``shards`` contiguous key ranges of near equal bytes.
 
     A row counts the UTF-8 bytes of its text (null: none) plus ``overhead``.
     Adds size, shard and slot (0, 1, ... within the shard, in key order).  With
     ``tolerance`` 0 shard i holds exactly the rows before which at least
-    ``i / shards`` of all bytes lie; inner ranges may miss by a fifth.
+    ``i / shards`` of all bytes lie; inner ranges may miss by a fifth.  By
+    default a shard has as many ranges as ``range_bytes`` asks for, 8 to 32.
     """
     source = df.drop(*[c for c in ("size", "shard", "slot") if c in df.columns])
     ready = source.select(
@@ -129,6 +130,7 @@ def histogram_sort(df: DataFrame, key: str, text: str = "text", shards: int = 24
     total = keyed.agg(F.sum("size")).first()[0]
     if total is None:
         return ready.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).drop("__k", "__t")
+    cells = cells or max(8, min(32, -(-total // (shards * range_bytes))))
     n = shards * cells
     goals = [(-(-total * i // n), (tolerance if i % cells == 0 else 0.2) * total / n) for i in range(1, n)]
     splitters = find_splitters(keyed, goals)
