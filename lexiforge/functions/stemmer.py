@@ -121,7 +121,9 @@ def stem(word: Column) -> Column:
         name, make = chain[at]
         return F.get(F.transform(F.array(make(values)), lambda x: bind(values | {name: x}, at + 1)), F.lit(0))
 
-    return F.get(F.transform(F.array(F.translate(word, UPPER, LOWER)), lambda w: bind({"w": w}, 0)), F.lit(0))
+    chained = F.get(F.transform(F.array(F.translate(word, UPPER, LOWER)), lambda w: bind({"w": w}, 0)), F.lit(0))
+    # a word without Russian vowels has no ending to lose
+    return F.when(F.translate(word, UPPER, LOWER).rlike(_V), chained).otherwise(word)
 
 
 def stem_terms(words: DataFrame, word: str = "word", name: str = "stem") -> DataFrame:
