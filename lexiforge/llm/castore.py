@@ -119,8 +119,8 @@ def _stored(df: DataFrame, doc_id: str, text: str, end_id: int, vocab: str, widt
     source = df.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string").cast("binary"))
     rows = source.mapInArrow(run, "address binary, kind string, ids binary, doc_id long, n_tokens long, root binary, chunks array<binary>")
     # the partial aggregate folds copies before the exchange
-    kept = [F.first(c).alias(c) for c in ("ids", "doc_id", "n_tokens", "root", "chunks")]
-    return rows.groupBy("address", "kind").agg(*kept)
+    kept = [F.first(c).alias(c) for c in ("kind", "ids", "doc_id", "n_tokens", "root", "chunks")]
+    return rows.groupBy("address").agg(*kept)  # by the address alone, as the buckets are
 
 
 def _table_of(path: str) -> str:
