@@ -3,8 +3,10 @@
 Texts and benchmark items are read as tokens.  Numbers, units after a number
 and names (capitalised words inside a sentence) become typed placeholders, runs
 of one type a single placeholder, whose surface is kept as the slot's value.
-Windows of tokens are hashed twice: as they stand, and as templates.  Windows
-of documents meet those of the benchmark in a hash join; matches of a document
+Whether a capital that opens a sentence is a name cannot be told, so there are
+two templates: in one it stays a word, in the other (``names``) it is a name of
+its own.  Windows of tokens are hashed as they stand and as either template.
+Windows of documents meet those of the benchmark in a hash join; matches of a document
 and an item on one diagonal (document position minus item position) form an
 alignment.
 
@@ -82,9 +84,9 @@ _HOLD = {_NUM: _placeholder("number"), _UNIT: _placeholder("unit"), _NAME: _plac
 
 
 def streams(memo: CanonicalWords, texts: list[bytes]):
-    """Literal tokens and template tokens of all texts.
+    """Literal tokens and tokens of both templates of all texts.
 
-    Gives two tuples (token hash, placeholder kind, value, edges per text).
+    Gives three tuples (token hash, placeholder kind, value, edges per text).
     """
     flat, edges = memo.encode(texts)
     flat, edges = flat.reshape(-1, 3), edges // 3
@@ -97,14 +99,18 @@ def streams(memo: CanonicalWords, texts: list[bytes]):
     kind = np.where(flags & _NUM, _NUM, 0)
     kind[(flags & _UNIT > 0) & (before & _NUM > 0) & ~first] = _UNIT
     kind[(flags & _NAME > 0) & (before & _END == 0)] = _NAME
-    literal = (surface, np.zeros(n, np.int64), surface, edges)
-    follows = np.concatenate([[False], (kind[1:] == kind[:-1]) & (kind[1:] > 0)]) & ~first
-    heads = np.flatnonzero(~follows)
-    token = surface.copy()
-    for k, h in _HOLD.items():
-        token[kind == k] = h
-    value = np.add.reduceat(surface, heads) if n else surface
-    return literal, (token[heads], kind[heads], value, np.searchsorted(heads, edges))
+    opens = (flags & _NAME > 0) & (before & _END > 0)
+
+    def held(kind, alone):
+        follows = np.concatenate([[False], (kind[1:] == kind[:-1]) & (kind[1:] > 0) & ~alone[1:] & ~alone[:-1]]) & ~first
+        heads = np.flatnonzero(~follows)
+        token = surface.copy()
+        for k, h in _HOLD.items():
+            token[kind == k] = h
+        value = np.add.reduceat(surface, heads) if n else surface
+        return token[heads], kind[heads], value, np.searchsorted(heads, edges)
+
+    return (surface, np.zeros(n, np.int64), surface, edges), held(kind, np.zeros(n, bool)), held(np.where(opens, _NAME, kind), opens)
 
 
 def windows(stream, size: int, template: bool):
@@ -131,6 +137,7 @@ def windows(stream, size: int, template: bool):
     return h[at] + np.uint64(size), at, docs[at]
 
 
+KINDS = ("literal", "template", "names")
 WINDOW_FIELDS = "wh long, kind string, size int, pos int, n_tokens int, slots array<long>"
 
 
@@ -141,11 +148,11 @@ def window_rows(memo: CanonicalWords, texts: list[bytes], sizes: list[int], full
     wanted: sorted hashes; other windows are left out.
     """
     out = {"doc": [], "wh": [], "kind": [], "size": [], "pos": [], "n_tokens": [], "slots": []}
-    for name, stream in zip(("literal", "template"), streams(memo, texts), strict=True):
+    for name, stream in zip(KINDS, streams(memo, texts), strict=True):
         _, kind, value, edges = stream
         lengths = np.diff(edges)
         for size in sizes:
-            h, at, doc = windows(stream, size, name == "template")
+            h, at, doc = windows(stream, size, name != "literal")
             keep = np.ones(len(h), bool)
             if own_size:
                 keep &= (lengths[doc] == size) | (size == full)
@@ -214,8 +221,8 @@ def leaks(
         items.unpersist()
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, kind string, n_windows long, coverage double, n_slots int")
     found = _windowed(docs, doc_id, text, used, window, False, wanted)
-    right = items.select("wh", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "size", F.col("n_tokens").alias("item_tokens"))
-    pairs = found.drop("size", "n_tokens").join(F.broadcast(right) if held else right, "wh")
+    right = items.select("wh", "kind", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "size", F.col("n_tokens").alias("item_tokens"))
+    pairs = found.drop("size", "n_tokens").join(F.broadcast(right) if held else right, ["wh", "kind"])
     aligned = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", "kind", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.count_distinct("item_pos").alias("n_windows"),
         F.max(F.col("item_tokens") - F.col("size") + 1).alias("of_windows"),
@@ -226,5 +233,6 @@ def leaks(
         F.size(F.array_distinct("bound.item_slots")).alias("n_slots"), (F.size("bound") == F.size(F.array_distinct("bound.item_slots"))).alias("consistent"),
     )
     leak = F.when(F.col("kind") == "literal", (F.col("coverage") >= literal_coverage) | (F.col("n_windows") >= literal_windows)).otherwise((F.col("coverage") >= template_coverage) & F.col("consistent"))
-    best = F.max(F.struct("coverage", "n_windows", "kind", "n_slots")).alias("best")
+    kind = F.when(F.col("kind") == "literal", "literal").otherwise("template").alias("kind")
+    best = F.max(F.struct("coverage", "n_windows", F.col("kind") == "literal", kind, "n_slots")).alias("best")
     return judged.where(leak).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.kind", "best.n_windows", "best.coverage", "best.n_slots")

@@ -120,6 +120,17 @@ def test_leaks(spark):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_names_that_open_sentences(spark):
+    items = [(1, "Tom has 5 apples. Tom buys 3 more apples at the market. How many apples does Tom have?"), (2, "Ruth sold 40 eggs on the first day. She sold 12 more on the second day."), (3, "Tom sold 5 apples to me. Tom bought 3 pears from me. Tom ate 2 of them. Tom slept.")]
+    texts = [
+        "Mia has 8 apples. Mia buys 2 more apples at the market. How many apples does Mia have?", "Note, Mia has 8 apples. Mia buys 2 more apples at the market. How many apples does Mia have?",
+        "So. Paul sold 35 eggs on the first day. He sold 19 more on the second day.", "Mia sold 8 apples to me. Ben bought 4 pears from me. Eva ate 7 of them. Ida slept.",
+    ]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (1_000_000, 0):
+        assert sorted(map(tuple, decontam.leaks(docs, bench, most_held=most).select("doc_id", "item_id", "kind").collect())) == [(0, 1, "template"), (1, 1, "template"), (2, 2, "template")]
+
+
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_repeats(spark, docs, rows, keep):
     length = 60
