@@ -11,13 +11,15 @@ and an item on one diagonal (document position minus item position) form an
 alignment.
 
 * A literal alignment is a leak if it covers enough of the item or is long.
-* A template alignment is a leak if it covers half of the item and its slots
-  are consistent: each value of the item maps to one value of the document,
-  wherever it occurs.  That catches re-parameterised questions and leaves
+* A template alignment is a leak if it covers half of the item's windows, with
+  or without slots, spells enough words (half a window; or all of the item,
+  with one word at least) and its slots are consistent: each value of the item
+  maps to one value of the document, wherever it occurs.  That catches re-parameterised questions and leaves
   texts alone that merely share a frame.
 
 Defined results: null and empty texts match nothing; items of fewer than
-``least`` tokens are not searched; repeated documents (equal id) are one
+``least`` tokens are not searched; items of slots only are searched literally;
+repeated documents (equal id) are one
 document; the columns used are ids and texts, others are ignored.
 """
 
@@ -113,12 +115,9 @@ def streams(memo: CanonicalWords, texts: list[bytes]):
     return (surface, np.zeros(n, np.int64), surface, edges), held(kind, np.zeros(n, bool)), held(np.where(opens, _NAME, kind), opens)
 
 
-def windows(stream, size: int, template: bool):
-    """Hash, start and text number of every window of ``size`` tokens within one text.
-
-    Template windows have a slot, and at most half of them are slots.
-    """
-    token, kind, _, edges = stream
+def windows(stream, size: int):
+    """Hash, start and text number of every window of ``size`` tokens within one text."""
+    token, _, _, edges = stream
     n = len(token)
     if n < size:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -129,16 +128,12 @@ def windows(stream, size: int, template: bool):
     h ^= h >> np.uint64(31)
     docs = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     ok = docs[: n - size + 1] == docs[size - 1 :]
-    if template:
-        slots = np.concatenate([[0], np.cumsum(kind > 0)])
-        n_slots = slots[size:] - slots[:-size]
-        ok &= (n_slots > 0) & (2 * n_slots <= size)
     at = np.flatnonzero(ok)
     return h[at] + np.uint64(size), at, docs[at]
 
 
 KINDS = ("literal", "template", "names")
-WINDOW_FIELDS = "wh long, kind string, size int, pos int, n_tokens int, slots array<long>"
+WINDOW_FIELDS = "wh long, kind string, size int, pos int, n_tokens int, slots array<long>, words array<int>"
 
 
 def window_rows(memo: CanonicalWords, texts: list[bytes], sizes: list[int], full: int, own_size: bool, wanted: np.ndarray | None):
@@ -146,13 +141,14 @@ def window_rows(memo: CanonicalWords, texts: list[bytes], sizes: list[int], full
 
     own_size: a text shorter than ``full`` gives one window, of its own length.
     wanted: sorted hashes; other windows are left out.
+    words: positions of the tokens that are no slots, given with ``own_size`` only.
     """
-    out = {"doc": [], "wh": [], "kind": [], "size": [], "pos": [], "n_tokens": [], "slots": []}
+    out = {"doc": [], "wh": [], "kind": [], "size": [], "pos": [], "n_tokens": [], "slots": [], "words": []}
     for name, stream in zip(KINDS, streams(memo, texts), strict=True):
         _, kind, value, edges = stream
         lengths = np.diff(edges)
         for size in sizes:
-            h, at, doc = windows(stream, size, name != "literal")
+            h, at, doc = windows(stream, size)
             keep = np.ones(len(h), bool)
             if own_size:
                 keep &= (lengths[doc] == size) | (size == full)
@@ -167,6 +163,7 @@ def window_rows(memo: CanonicalWords, texts: list[bytes], sizes: list[int], full
             out["size"] += [size] * len(h)
             out["pos"] += (at - edges[doc]).tolist()
             out["n_tokens"] += lengths[doc].tolist()
+            out["words"] += [(np.flatnonzero(kind[a : a + size] == 0) + (a - e)).tolist() if own_size else [] for a, e in zip(at.tolist(), edges[doc].tolist(), strict=True)]
             out["slots"] += [value[a : a + size][kind[a : a + size] > 0].view(np.int64).tolist() for a in at.tolist()]
     return out
 
@@ -184,8 +181,9 @@ def _windowed(df: DataFrame, key: str, text: str, sizes: list[int], full: int, o
                     [
                         pa.array([keys[s + i] for i in got["doc"]], pa.int64()), pa.array(got["wh"], pa.int64()), pa.array(got["kind"], pa.string()),
                         pa.array(got["size"], pa.int32()), pa.array(got["pos"], pa.int32()), pa.array(got["n_tokens"], pa.int32()), pa.array(got["slots"], pa.list_(pa.int64())),
+                        pa.array(got["words"], pa.list_(pa.int32())),
                     ],
-                    names=["id", "wh", "kind", "size", "pos", "n_tokens", "slots"],
+                    names=["id", "wh", "kind", "size", "pos", "n_tokens", "slots", "words"],
                 )
 
     source = df.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string").cast("binary"))
@@ -221,18 +219,20 @@ def leaks(
         items.unpersist()
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, kind string, n_windows long, coverage double, n_slots int")
     found = _windowed(docs, doc_id, text, used, window, False, wanted)
-    right = items.select("wh", "kind", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "size", F.col("n_tokens").alias("item_tokens"))
-    pairs = found.drop("size", "n_tokens").join(F.broadcast(right) if held else right, ["wh", "kind"])
+    right = items.select("wh", "kind", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("words").alias("item_words"), "size", F.col("n_tokens").alias("item_tokens"))
+    pairs = found.drop("size", "n_tokens", "words").join(F.broadcast(right) if held else right, ["wh", "kind"])
     aligned = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", "kind", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.count_distinct("item_pos").alias("n_windows"),
         F.max(F.col("item_tokens") - F.col("size") + 1).alias("of_windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("item_words")))).alias("n_words"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("bound"),
     )
     judged = aligned.select(
-        "doc_id", "item_id", "kind", "n_windows", (F.col("n_windows") / F.col("of_windows")).alias("coverage"),
+        "doc_id", "item_id", "kind", "n_windows", "n_words", (F.col("n_windows") / F.col("of_windows")).alias("coverage"),
         F.size(F.array_distinct("bound.item_slots")).alias("n_slots"), (F.size("bound") == F.size(F.array_distinct("bound.item_slots"))).alias("consistent"),
     )
-    leak = F.when(F.col("kind") == "literal", (F.col("coverage") >= literal_coverage) | (F.col("n_windows") >= literal_windows)).otherwise((F.col("coverage") >= template_coverage) & F.col("consistent"))
+    spelt = (F.col("n_words") >= window // 2) | (F.col("coverage") == 1) & (F.col("n_words") > 0)
+    leak = F.when(F.col("kind") == "literal", (F.col("coverage") >= literal_coverage) | (F.col("n_windows") >= literal_windows)).otherwise((F.col("coverage") >= template_coverage) & spelt & F.col("consistent"))
     kind = F.when(F.col("kind") == "literal", "literal").otherwise("template").alias("kind")
     best = F.max(F.struct("coverage", "n_windows", F.col("kind") == "literal", kind, "n_slots")).alias("best")
     return judged.where(leak).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.kind", "best.n_windows", "best.coverage", "best.n_slots")

@@ -131,6 +131,20 @@ def test_leaks_of_names_that_open_sentences(spark):
         assert sorted(map(tuple, decontam.leaks(docs, bench, most_held=most).select("doc_id", "item_id", "kind").collect())) == [(0, 1, "template"), (1, 1, "template"), (2, 2, "template")]
 
 
+def test_leaks_of_items_dense_or_thin_with_slots(spark):
+    long = "one plain old sentence follows with many words and no figure in it at all"
+    items = [(1, "Convert 12 kg, 7 kg, 9 kg and 14 kg to pounds."), (2, "is 12 kg over 20 lb?"), (3, "12 kg 7 cm 9 mm 14 km 3 m"), (4, f"a jar holds 12 sweets, {long} today")]
+    texts = [
+        "Please convert 3 kg, 5 kg, 8 kg and 21 kg to pounds.", "say, is 3 kg over 5 lb?", "3 kg 5 cm 8 mm 2 km 9 m", "12 kg 7 cm 9 mm 14 km 3 m", "we have 3 kg, 5 kg, 8 kg and 21 kg of it",
+        "a jar holds 99 sweets, one plain old sentence follows with many words and, as if", "a jar holds 99 sweets, as if",
+    ]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (1_000_000, 0):
+        got = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, bench, most_held=most).collect()}
+        assert {k: r.kind for k, r in got.items()} == {(0, 1): "template", (1, 2): "template", (3, 3): "literal", (5, 4): "template"}
+        assert all(0 < r.coverage <= 1 for r in got.values())
+
+
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_repeats(spark, docs, rows, keep):
     length = 60
