@@ -9,7 +9,7 @@ once per worker; parsing walks all words of a block together, one character a
 step.
 
 The automata come from a bounded sample: per language at most ``sample_rows``
-labelled rows, those of least hash, and ``sample_chars`` characters.
+distinct labelled texts, those of least hash, and ``sample_chars`` characters.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; so
 is every text when nothing is labelled; ties go to the language first in the
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.llm import wordcodes
-from lexiforge.llm.common import map_texts
+from lexiforge.llm.common import map_texts, stage
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -110,14 +110,21 @@ def _has_letter(text: bytes) -> bool:
 def train(df: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = 200, sample_chars: int = 30_000) -> list[tuple[str, dict, np.ndarray]]:
     """Automata of every label of ``df``: (label, letters, table), labels ascending."""
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sizes = rows.groupBy("lang").count()
-    picked = rows.withColumn("h", F.xxhash64("lang", "text"))
-    # few rows pass the hash filter; only they are ranked
-    near = picked.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "lang").where(F.pmod("h", F.lit(1_000_003)) <= F.lit(4.0 * sample_rows * 1_000_003) / F.col("count"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    rows = rows.withColumn("h", F.xxhash64("lang", "text"))
+    # copies of a text are one; its hash stands for it
+    keys = stage(rows.select("lang", "h").distinct(), "sample-keys")
+    sizes = keys.groupBy("lang").count()
+    few = sizes.count() <= 10_000
+    held = lambda df: F.broadcast(df) if few else df
+    # few hashes pass the filter; only they are ranked, and all hashes of a label that it leaves short
+    marked = keys.join(held(sizes), "lang").withColumn("near", F.pmod("h", F.lit(1_000_003)) <= F.lit(4.0 * sample_rows * 1_000_003) / F.col("count"))
+    short = marked.groupBy("lang").agg(F.count_if("near").alias("n"), F.first("count").alias("count")).where(F.col("n") < F.least(F.lit(sample_rows), F.col("count"))).select("lang", F.lit(True).alias("short"))
+    near = marked.join(held(short), "lang", "left").where(F.col("near") | F.col("short"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = near.withColumn("r", rank).where(F.col("r") <= sample_rows).select("lang", "h", "r")
     share = max(1, 4 * sample_chars // sample_rows)
     # of a very long row only a stretch enters the sample
-    chosen = near.withColumn("r", rank).where(F.col("r") <= sample_rows).select("lang", "r", F.substring("text", 1, max(share, 2000)).alias("text"))
+    chosen = rows.join(held(picked), ["lang", "h"]).groupBy("lang", "r").agg(F.min(F.substring("text", 1, max(share, 2000))).alias("text"))
     texts: dict[str, list[str]] = {}
     for label, _, part in sorted(chosen.collect()):  # at most labels x sample_rows short rows
         texts.setdefault(label, []).append(" ".join(part.lower().split()))

@@ -269,6 +269,20 @@ def test_cross_parsing(spark):
     assert {r.lang_pred for r in crossparse.identify(spark.createDataFrame(tests, "doc_id long, text string"), []).collect()} == {"und"}
 
 
+def test_cross_parsing_samples_distinct_texts(spark):
+    copies = [(f"copied text {k} of label", f"c{k}") for k in range(12) for _ in range(300)]
+    many = [(f"number {k}", "m") for k in range(300)] + [("hot text", "m")] * 900
+    trained = {label: letters for label, letters, _ in crossparse.train(spark.createDataFrame(copies + many, "text string, lang string"), sample_rows=20)}
+    assert set(trained) == {"m", *(f"c{k}" for k in range(12))}
+    rows = spark.createDataFrame([(f"number {k}", "m") for k in range(300)] + [("hot text", "m")], "text string, lang string")
+    one = crossparse.train(rows, sample_rows=20)
+    again = crossparse.train(spark.createDataFrame(many, "text string, lang string"), sample_rows=20)
+    assert [(a, b, c.tolist()) for a, b, c in one] == [(a, b, c.tolist()) for a, b, c in again]
+    # some labels have no hash that passes the filter
+    sparse = spark.range(20_000).select(F.concat(F.lit("text "), "id").alias("text"), (F.col("id") % 200).cast("string").alias("lang"))
+    assert len(crossparse.train(sparse, sample_rows=1)) == 200
+
+
 def test_store_round_trip(spark, docs, rows, ids):
     path = castore.new_store(docs)
     at = 0
