@@ -242,6 +242,26 @@ def stem_groups_top5(spark, sf_dir):
     return lexstats.stem_groups(_words(spark))
 
 
+_VOCABULARY = f"{_FREQ}, {stemmer.sql_chain('(SELECT term AS word FROM freqs)')}"
+
+
+def _vocabulary(spark, sf_dir):
+    return lexstats.analysed_terms(_docs(spark, sf_dir)).select(F.col("term").alias("word"))
+
+
+@query(f"WITH {_VOCABULARY} SELECT count(*) AS n, count(*) FILTER (word <> stem) AS changed, round(CASE WHEN count(*) > 0 THEN 100.0 * count(*) FILTER (word <> stem) / count(*) ELSE 0 END, 6) AS percentage_changed FROM stems")
+def stem_change_documents(spark, sf_dir):
+    return lexstats.stem_change(_vocabulary(spark, sf_dir)).withColumn("percentage_changed", F.round("percentage_changed", 6))
+
+
+@query(
+    f"WITH {_VOCABULARY}, g AS (SELECT stem, list_sort(list(DISTINCT word)) AS o FROM stems GROUP BY stem) "
+    "SELECT stem, CAST(len(o) AS INTEGER) AS size, array_to_string(o[1:5], ' ') AS originals FROM g ORDER BY len(o) < 2, len(o) DESC, stem LIMIT 5"
+)
+def stem_groups_documents(spark, sf_dir):
+    return lexstats.stem_groups(_vocabulary(spark, sf_dir))
+
+
 SAMPLES = (
     "Принимать по одной таблетке", "Вводить в/м или в/в по показаниям", "5-НОК и бета-каротин с омега-3 кислотами", "Витамины C, D3, B12, PP, K1, B1", "Хранить при 15–30 °C, не выше 25°C",
     "pH 7.2-7.4, концентрация 0.9% NaCl, 5% глюкоза", "Ёлка A a % / – «Слово» 25°CABC мг/25°cX 10-20°C x-ray T-shirt-size 100 H2O + -", "!!! ??? ...",
@@ -404,3 +424,12 @@ def listing_links(spark, sf_dir):
     html = '<a href="/drugs/a/">A</a><a class="x" href="/drugs/b#t">B</a><a href="/drugs/">all</a><a href="/about">x</a><a href="/drugs/a">again</a>'
     rows = spark.createDataFrame([(html,)], "html string")
     return rows.select(F.explode(urls.listing_links(F.col("html"), "https://e.ru")).alias("u")).select(F.replace("u", F.lit("https://e.ru"), F.lit("")).alias("path"))
+
+
+@query(
+    f"WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS h FROM pages), w AS (SELECT * FROM l WHERE contains(h, '/drugs/') AND h NOT IN ('/drugs', '/drugs/', '/drugs?') AND length(h) - length(replace(h, '/', '')) >= 2), "
+    r"a AS (SELECT page_id, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN h WHEN starts_with(h, '//') THEN 'https:' || h WHEN starts_with(h, '/') OR starts_with(h, '?') OR starts_with(h, '#') THEN 'https://site.example' || h ELSE 'https://site.example/' || h END AS u FROM w), "
+    r"k AS (SELECT DISTINCT page_id, regexp_replace(regexp_replace(u, '(?s)#.*', ''), '/+\z', '') AS link FROM a) SELECT page_id, link FROM k WHERE contains(link, '/drugs/') AND link <> 'https://site.example/drugs'"
+)
+def listing_links_pages(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.explode(urls.listing_links(F.col("html"), "https://site.example")).alias("link"))

@@ -100,3 +100,22 @@ def test_every_query_has_columns_of_its_sql():
     from lexiforge.plans import catalog
 
     assert set(catalog.SQL) <= set(catalog.QUERIES)
+
+
+def test_statistics_and_listings_follow_the_tables(spark, tmp_path):
+    from lexiforge.plans import catalog
+
+    texts = [(0, "дом дома домами computer 100"), (1, "дому, бегать бегали"), (2, " "), (3, None), (4, "дома")]
+    html = '<a href="/drugs/a/">A</a><a class="x" href="drugs/b">no</a><a href="x/drugs/b#t">B</a><a href="/drugs/">all</a><a href="https://o.ru/drugs/c">C</a><a href="/drugs/a">again</a>'
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "https://site.example/l", html), (2, "https://site.example/m", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = {}
+    for name in ("stem_change_documents", "stem_groups_documents", "listing_links_pages"):
+        got[name] = sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got[name] == sorted(con.execute(catalog.SQL[name]).fetchall()), name
+    assert got["stem_change_documents"][0][0] == 7
+    assert ("дом", 4, "дом дома домами дому") in got["stem_groups_documents"]
+    assert got["listing_links_pages"] == [(1, "https://o.ru/drugs/c"), (1, "https://site.example/drugs/a"), (1, "https://site.example/x/drugs/b")]
