@@ -361,6 +361,15 @@ def readable_sizes(spark, sf_dir):
     return rows.withColumn("size", store.format_size("bytes")).where(~F.col("size").endswith(" B")).select("doc_id", "bytes")
 
 
+@query(
+    "WITH s AS (SELECT CAST(doc_id AS BIGINT) * doc_id * doc_id * 37 AS bytes, doc_id FROM documents) SELECT doc_id, bytes, CASE WHEN coalesce(bytes, 0) = 0 THEN '0 B' WHEN bytes < 1024 THEN printf('%.2f B', CAST(bytes AS DOUBLE)) "
+    "WHEN bytes < 1048576 THEN printf('%.2f KB', bytes / 1024.0::DOUBLE) WHEN bytes < 1073741824 THEN printf('%.2f MB', bytes / 1048576.0::DOUBLE) ELSE printf('%.2f GB', bytes / 1073741824.0::DOUBLE) END AS size FROM s"
+)
+def readable_size_strings(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", (F.col("doc_id") * F.col("doc_id") * F.col("doc_id") * 37).alias("bytes"))
+    return rows.withColumn("size", store.format_size("bytes"))
+
+
 @query(f"SELECT doc_id, trim(regexp_replace(text, '{textfiles.WHITE_SPACE}', ' ', 'g'), ' ') AS line FROM documents WHERE text IS NOT NULL")
 def export_clean_text(spark, sf_dir):
     return _docs(spark, sf_dir).where("text is not null").select("doc_id", textfiles.one_line(F.col("text")).alias("line"))

@@ -119,3 +119,14 @@ def test_statistics_and_listings_follow_the_tables(spark, tmp_path):
     assert got["stem_change_documents"][0][0] == 7
     assert ("дом", 4, "дом дома домами дому") in got["stem_groups_documents"]
     assert got["listing_links_pages"] == [(1, "https://o.ru/drugs/c"), (1, "https://site.example/drugs/a"), (1, "https://site.example/x/drugs/b")]
+
+
+def test_readable_sizes(spark, tmp_path):
+    from lexiforge.plans import catalog
+
+    spark.createDataFrame([(i,) for i in (0, 1, 3, 10, 100, 512, 1000)], "doc_id long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in catalog.QUERIES["readable_size_strings"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(catalog.SQL["readable_size_strings"]).fetchall())
+    assert [r[2] for r in got] == ["0 B", "37.00 B", "999.00 B", "36.13 KB", "35.29 MB", "4.62 GB", "34.46 GB"]
