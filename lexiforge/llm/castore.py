@@ -93,6 +93,8 @@ def _stored(df: DataFrame, doc_id: str, text: str, end_id: int, vocab: str, widt
                 told, chunk_rows, recipes = set(), ([], []), ([], [], [], [], [])
                 for i in range(e - s):
                     own = np.append(ids[edges[i] : edges[i + 1]], np.uint32(end_id))
+                    if own.max() > np.iinfo(width).max:
+                        raise ValueError(f"id {own.max()} does not fit width {width}")
                     data, ends = own.astype(width), cut_points(own, **cuts)
                     names = []
                     for a, b in zip([0, *ends], ends, strict=False):

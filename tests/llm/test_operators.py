@@ -297,6 +297,13 @@ def test_store_round_trip(spark, docs, rows, ids):
     assert castore.read_store(spark, empty).count() == 0
 
 
+def test_store_refuses_ids_beyond_its_width(spark, docs, tmp_path):
+    with pytest.raises(Exception, match="does not fit width <u2"):
+        castore.write_store(docs, f"{tmp_path}/narrow", end_id=70_000)
+    castore.write_store(docs, f"{tmp_path}/wide", end_id=70_000, width="<u4")
+    assert {np.frombuffer(r.ids, "<u4")[-1] for r in castore.read_store(spark, f"{tmp_path}/wide", "<u4").collect()} == {70_000}
+
+
 def test_cut_points_follow_content():
     rng = np.random.default_rng(2)
     tail = rng.integers(0, 40000, 6000).astype(np.uint32)
