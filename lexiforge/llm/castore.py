@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.llm import wordcodes
-from lexiforge.llm.common import blocks, new_path, release, vocabulary_path
+from lexiforge.llm.common import blocks, drop_path, new_path, shuffles_dropped, vocabulary_path
 
 _GEAR = np.random.default_rng(8).integers(0, 2**63, 1 << 16, dtype=np.uint64)
 
@@ -84,7 +84,7 @@ def _stored(df: DataFrame, doc_id: str, text: str, end_id: int, vocab: str, widt
         import zstandard
         from pyspark import TaskContext
 
-        memo, squeeze = wordcodes.loaded(wordcodes.BpeWords, vocab), zstandard.ZstdCompressor(3).compress
+        (memo,), squeeze = wordcodes.held((wordcodes.BpeWords, vocab)), zstandard.ZstdCompressor(3).compress
         task, n_docs = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
@@ -137,7 +137,8 @@ def write_store(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = _stored(df, doc_id, text, end_id, vocab, width, cuts)
     writer = stored.write.format("parquet").option("compression", "zstd").option("path", f"{path}/stored")
-    writer.partitionBy("kind").bucketBy(parts, "address").sortBy("address").saveAsTable(_table_of(path))
+    with shuffles_dropped(spark):
+        writer.partitionBy("kind").bucketBy(parts, "address").sortBy("address").saveAsTable(_table_of(path))
     recipes = spark.table(_table_of(path)).where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "chunks")
 
     # ascending documents; where each starts follows from the sizes of the ranges before it
@@ -167,13 +168,7 @@ def write_store(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     listed = folded.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct(*order))).alias("x"))
     manifest = listed.select("part", "block", "n_docs", "n_tokens", F.col("x.root").alias("root")).mapInArrow(roots, "part int, block long, n_docs long, n_tokens long, root binary")
     manifest.write.parquet(f"{path}/manifest")
-    _drop(spark, held)
-    release(spark)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    drop_path(spark, held)
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:

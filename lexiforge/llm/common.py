@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -25,14 +26,16 @@ def vocabulary_path(name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is
-    made and set as the checkpoint directory.
+    Where that setting is absent a temporary folder is made and set as the
+    checkpoint directory, but only for a session of one machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexiforge-"))
     return sc.getCheckpointDir()
 
@@ -41,24 +44,54 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of a write go when it has ended; what it wrote is the only copy needed."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
     Cuts the lineage: what follows never recomputes ``df``, whichever
     executor is lost.
     """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).put(df, label, codec)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Tables in the shared folder, dropped by name once all that reads them has been written."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of queries that are over."""
-    import gc
+    def put(self, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+        path = new_path(self.spark, label)
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", codec).parquet(path)
+        self.paths.setdefault(label, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            for path in self.paths.pop(label, ()):
+                drop_path(self.spark, path)
 
 
 def blocks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:

@@ -172,7 +172,7 @@ def _windowed(df: DataFrame, key: str, text: str, sizes: list[int], full: int, o
     import pyarrow as pa
 
     def run(batches):
-        memo = wordcodes.loaded(CanonicalWords)
+        (memo,) = wordcodes.held((CanonicalWords,))
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
             for s, e in blocks([len(t) for t in texts], 2_000_000):

@@ -74,7 +74,7 @@ def build_trees(df: DataFrame, text: str = "text", keep: list[str] | None = None
     path = vocabulary or vocabulary_path("word_bpe_49k.json")
 
     def make():
-        memo = wordcodes.loaded(wordcodes.BpeWords, path)
+        (memo,) = wordcodes.held((wordcodes.BpeWords, path))
 
         def run(texts):
             leaves = leaves_of(memo, [t or b"" for t in texts], leaf_words)
@@ -147,7 +147,7 @@ def apply_edits(trees: DataFrame, text: str = "text", edits: str = "edits", keep
     schema = StructType([*source.schema.fields[: len(kept)], *added.fields])
 
     def run(batches):
-        memo = wordcodes.loaded(wordcodes.BpeWords, path)
+        (memo,) = wordcodes.held((wordcodes.BpeWords, path))
         for batch in batches:
             texts, ends, tree, changes = (batch.column(len(kept) + i).to_pylist() for i in range(4))
             for s, e in blocks([len(t) for t in texts], 4_000_000):

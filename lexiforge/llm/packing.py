@@ -89,7 +89,7 @@ def pack(
     def run(batches):
         from pyspark import TaskContext
 
-        memo = wordcodes.loaded(wordcodes.BpeWords, path)
+        (memo,) = wordcodes.held((wordcodes.BpeWords, path))
         base, n_blocks = TaskContext.get().partitionId() << 40, 0
         held_ids, held, held_tokens = [], [], 0
 

@@ -166,8 +166,7 @@ def fertility(
     pattern = public_tokenizers.PATTERN
 
     def make():
-        piece = wordcodes.loaded(wordcodes.PieceWords, piece_path)
-        rank = wordcodes.loaded(wordcodes.RankWords, rank_path, pattern)
+        piece, rank = wordcodes.held((wordcodes.PieceWords, piece_path), (wordcodes.RankWords, rank_path, pattern))
         return lambda texts, langs=None: measure(texts, langs or [None] * len(texts), piece, rank, bands, script_bands)
 
     return map_texts(df, make, FIELDS, text, keep, also=(lang,) if lang and lang in df.columns else ())

@@ -11,21 +11,23 @@ text are the ids of its white-space separated words, one after the other:
 
 A worker therefore asks the library once per distinct word.  Words of a block
 of documents are found, hashed (64 bits over random byte values) and looked up
-as arrays; the ids of the block are then gathered from flat arrays.  The memo
-has a fixed capacity and is emptied when full, so memory does not follow the
-vocabulary.
+as arrays; the ids of the block are then gathered from flat arrays.  A memo
+holds at most ``CAPACITY`` bytes and is emptied when full, and a worker keeps the
+memos of one operator only (``held``), so memory follows neither the vocabulary
+nor the number of operators a reused worker has served.
 """
 
 from __future__ import annotations
 
+import contextlib
 import re
 
 import numpy as np
 
 from lexiforge.llm.common import worker_env
 
-#: Distinct words a worker remembers before it starts afresh.
-CAPACITY = 1_500_000
+#: Bytes of words a memo remembers before it starts afresh.
+CAPACITY = 32 << 20
 _TAIL = np.isin(np.arange(256), list(b".,!?;:"))
 _LETTER = np.isin(np.arange(256), range(97, 123))
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -104,6 +106,10 @@ class _Pool:
         self.sizes[self.n : self.n + len(lists)] = sizes
         self.used, self.n = self.used + total, self.n + len(lists)
 
+    @property
+    def nbytes(self) -> int:
+        return self.values.nbytes + self.starts.nbytes + self.sizes.nbytes
+
     def gather(self, at: np.ndarray):
         """Ids of all positions in a row, and where those of each position end."""
         sizes = self.sizes[at]
@@ -132,7 +138,7 @@ class WordMemo:
 
     def positions(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pool position of each word; equal words have equal positions within one call."""
-        if len(self.keys) > self.capacity:
+        if self.keys.nbytes + self.slots.nbytes + self.pool.nbytes > self.capacity:
             self.clear()
         keys, first, inverse = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
@@ -227,9 +233,31 @@ class RankWords(WordMemo):
 _LOADED: dict = {}
 
 
-def loaded(kind, *args):
-    """One memo per worker and vocabulary, kept between tasks."""
-    key = (kind.__name__, *args)
-    if key not in _LOADED:
-        _LOADED[key] = kind(*args)
-    return _LOADED[key]
+def held(*wanted) -> list:
+    """The memos of one operator, each given as (kind, *arguments).
+
+    A worker keeps them between tasks; those of any other operator go.
+    """
+    keys = [(kind.__name__, *args) for kind, *args in wanted]
+    if set(_LOADED) - set(keys):
+        for other in set(_LOADED) - set(keys):
+            del _LOADED[other]
+        tidy()
+    for key, (kind, *args) in zip(keys, wanted, strict=True):
+        if key not in _LOADED:
+            _LOADED[key] = kind(*args)
+    return [_LOADED[k] for k in keys]
+
+
+def tidy() -> None:
+    """Give freed memory of this worker back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    _POWERS.update(r=_POWERS["r"][:1].copy(), i=_POWERS["i"][:1].copy())
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
