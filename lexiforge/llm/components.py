@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import stage
+from lexiforge.llm.common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,11 +30,13 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates large and small stars until the edges are stars already; each
     round is written to the shared folder, so no lineage grows.
     """
-    now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "0")
     mark = None
-    for _ in range(rounds):
+    for done in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = stage(_star(_star(both, True), False), "edges")
+        now = scratch.put(_star(_star(both, True), False), str(done + 1))
+        scratch.drop(str(done))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -13,32 +13,38 @@ place, and registers agree about as often as the sets overlap.
    registers are larger, smaller and equal; pairs far below the threshold go.
 4. The rest is verified on the full sets.
 5. Buckets that still hold several components are searched completely, in
-   blocks of bounded size, pairs within a component left out; what is found is
-   estimated and verified as before.  So no link is lost to the choice of the
-   hub.
+   blocks of bounded bytes that hold the full sets: pairs of different
+   components are estimated, verified at once, and a block tells one link for
+   each two components it joins.  So no link is lost to the choice of the hub,
+   and no list of pairs leaves a block.
 
 With 160 registers in 32 bands of 5, a pair of overlap 0.8 shares no bucket
-with probability 3e-6, and falls below the estimate's floor with about 6e-5.
+with probability 3e-6, and falls below the estimate's floor of 0.64 with 3e-7.
+Sets are told apart by 128 bits.
 
 Defined results: null and wordless texts have an empty set and link with
-nothing; a text of fewer words than a shingle is one shingle; repeated rows
-share a component; a null id counts as absent when the least id is taken;
-columns besides id and text are not carried.
+nothing; a text of fewer words than a shingle is one shingle; very long texts
+are one set like any other; repeated rows share a component; components are
+named by their least id, so ties do not matter; a null id counts as absent when
+the least id is taken; an empty table gives an empty result; columns besides id
+and text, whatever their names, are not carried.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm import wordcodes
-from lexiforge.llm.common import blocks, stage
+from lexiforge.llm.common import Scratch, blocks
 from lexiforge.llm.components import connected
 
 REGISTERS, BANDS, BASE, RATE, TOP = 160, 32, 1.001, 20.0, 2**16 - 2
+_BLOCK = 1_000_000
 _rng = np.random.default_rng(6)
 _MULTIPLY = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -108,13 +114,25 @@ def estimate(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.n
     return (low + high) / 2
 
 
+def reaches(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, floor: float) -> np.ndarray:
+    """Is the likeliest overlap ``floor`` or more?  The likelihood has one peak, so its slope at the floor tells."""
+    u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
+    equal, q = REGISTERS - larger - smaller, (BASE - 1) / BASE
+    x, y = np.maximum(u - v * floor, 1e-12), np.maximum(v - u * floor, 1e-12)
+    p = lambda z: -np.log1p(-np.minimum(z, 1) * q) / np.log(BASE)
+    rise = lambda z: q / (1 - np.minimum(z, 1) * q) / np.log(BASE)
+    slope = equal * (v * rise(x) + u * rise(y)) / np.maximum(1 - p(x) - p(y), 1e-12) - larger * v * rise(x) / p(x) - smaller * u * rise(y) / p(y)
+    return (slope >= 0) & (np.minimum(n_a, n_b) >= floor * np.maximum(n_a, n_b))
+
+
 def _sketch(docs: DataFrame, k: int) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
+        wordcodes.held()
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).to_pylist()]
-            for s, e in blocks([len(t) for t in texts], 3_000_000):
+            for s, e in blocks([len(t) for t in texts], _BLOCK):
                 h, edges = shingle_sets(texts[s:e], k)
                 sketch, n = registers(h, edges), np.diff(edges)
                 prints = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -122,21 +140,20 @@ def _sketch(docs: DataFrame, k: int) -> DataFrame:
                     [batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array([r.tobytes() for r in sketch], pa.binary())],
                     names=["doc_id", "th", "n", "print", "regs"],
                 )
+        wordcodes.tidy()
 
     return docs.mapInArrow(run, "doc_id long, th long, n long, print binary, regs binary")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, set) of texts; copies within a task are told once."""
+def _shingled(docs: DataFrame, k: int) -> DataFrame:
+    """(print, set) of texts; copies within a block are told once."""
     import pyarrow as pa
 
     def run(batches):
-        told = set()
         for batch in batches:
-            keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            new = [i for i, t in enumerate(keys) if t not in told and not told.add(t)]
-            for s, e in blocks([len(texts[i] or b"") for i in new], 3_000_000):
-                h, edges = shingle_sets([texts[i] or b"" for i in new[s:e]], k)
+            texts = list({t: x or b"" for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)}.values())
+            for s, e in blocks([len(t) for t in texts], _BLOCK):
+                h, edges = shingle_sets(texts[s:e], k)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
@@ -144,8 +161,9 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                     ],
                     names=["print", "set"],
                 )
+        wordcodes.tidy()
 
-    return docs.mapInArrow(run, "print binary, set array<long>").select(F.xxhash64("print").alias("node"), "set")
+    return docs.mapInArrow(run, "print binary, set array<long>")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
@@ -156,8 +174,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
         for batch in batches:
             n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
             left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5))
-            j = estimate((left > right).sum(1), (left < right).sum(1), n_a.astype(float), n_b.astype(float))
-            keep = pa.array(j >= floor)
+            keep = pa.array(reaches((left > right).sum(1), (left < right).sum(1), n_a.astype(float), n_b.astype(float), floor))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], names=["a", "b", "n_a", "n_b"])
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
@@ -165,98 +182,170 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     return full.mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, most_held: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) whose full sets overlap by ``percent``, as edges (u, v)."""
-    pairs = stage(pairs, "pairs")
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = stage(named.join(nodes.select("node", "th"), "node").select("node", "th"), "asked")
+def _sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, most_held: int, scratch: Scratch) -> DataFrame:
+    """(node, set) of the nodes in ``asked``, shingled again from one text of each."""
+    asked = scratch.put(asked.distinct().join(nodes.select("node", "th", "print"), "node"), "asked")
     few = asked.count() <= most_held  # 8 bytes each
-    texts = docs.join(F.broadcast(asked.select("th").distinct()) if few else asked.select("th").distinct(), "th", "left_semi").select("doc_id", "th", "text")
-    sets = stage(_sets(texts, k).groupBy("node").agg(F.first("set").alias("set")), "sets")
+    wanted = asked.select("th").distinct()
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "th", "left_semi").select("doc_id", "th", "text")
+    found = _shingled(texts, k).groupBy("print").agg(F.first("set").alias("set"))
+    return scratch.put(found.join(asked.select("print", "node"), "print").select("node", "set"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, most_held: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) whose full sets overlap by ``percent``, as edges (u, v)."""
+    pairs = scratch.put(pairs, "pairs")
+    sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, nodes, k, most_held, scratch)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "n_a", "n_b", shared.alias("shared")).where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("u", "v")
 
 
-def _cross_pairs(members: DataFrame, percent: int, floor: float, block: int) -> DataFrame:
-    """Pairs of different components that share a bucket, by estimate, in blocks of bounded size.
+class Members(NamedTuple):
+    """Arrays of one side of a block; sets are ascending hashes."""
+
+    node: np.ndarray
+    comp: np.ndarray
+    n: np.ndarray
+    regs: np.ndarray
+    sets: list
 
-    members: key, band, node, n, comp, regs, main (is in the component of the
-    bucket's hub).  Members of the main component only meet the others; a pair
-    is told in the first band it shares.
+
+def _likely_pairs(a: Members, b: Members, band: int, percent: int, floor: float, at_once: int = 16_384):
+    """Pairs (places in a, places in b) of different components whose estimate reaches the floor."""
+    per = REGISTERS // BANDS
+    step = max(1, at_once // len(b.node))
+    for low in range(0, len(a.node), step):
+        own = slice(low, low + step)
+        n, m = a.n[own, None], b.n[None, :]
+        i, j = np.nonzero((a.comp[own, None] != b.comp[None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+        i += low
+        if len(i) and band:  # a pair is told in the first band it shares
+            same = a.regs[i, : band * per] == b.regs[j, : band * per]
+            fresh = ~same.reshape(len(i), band, per).all(2).any(1)
+            i, j = i[fresh], j[fresh]
+        if len(i):
+            left, right = a.regs[i], b.regs[j]
+            near = reaches((left > right).sum(1), (left < right).sum(1), a.n[i].astype(float), b.n[j].astype(float), floor)
+            yield i[near], j[near]
+
+
+def links_of_block(a: Members, b: Members, band: int, percent: int, floor: float) -> list[tuple[int, int]]:
+    """Links between different components of two groups of members, one for each two components they join."""
+    above: dict[int, int] = {}  # components joined here
+
+    def top(c):
+        while c in above:
+            c = above[c]
+        return c
+
+    found = []
+    for i, j in _likely_pairs(a, b, band, percent, floor):
+        for p in np.unique(i).tolist():
+            near = [q for q in j[i == p].tolist() if top(int(b.comp[q])) != top(int(a.comp[p]))]
+            if not near:
+                continue
+            theirs = np.concatenate([b.sets[q] for q in near])
+            sizes = b.n[near]
+            spot = np.minimum(np.searchsorted(a.sets[p], theirs), int(a.n[p]) - 1)
+            shared = np.add.reduceat(a.sets[p][spot] == theirs, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for k in np.flatnonzero(100 * shared >= percent * (int(a.n[p]) + sizes - shared)).tolist():
+                mine, its = top(int(a.comp[p])), top(int(b.comp[near[k]]))
+                if mine != its:
+                    found.append((int(a.node[p]), int(b.node[near[k]])))
+                    above[its] = mine
+    return found
+
+
+def _cross_links(members: DataFrame, percent: int, floor: float, block: int) -> DataFrame:
+    """Links (u, v) between different components that share a bucket, found in blocks of bounded bytes.
+
+    members: key, band, node, n, comp, regs, set, main (is in the component of
+    the bucket's hub).  Members of the main component only meet the others.
+    block: sum of set sizes and registers on either side of a block.
     """
     import pandas as pd
 
-    sizes = members.groupBy("key").agg(F.ceil(F.sum((~F.col("main")).cast("int")) / block).alias("rows"), F.ceil(F.count(F.lit(1)) / block).alias("cols"))
+    weight = F.col("n") + REGISTERS // 4
+    parts = lambda w: F.greatest(F.ceil(F.sum(w) / block), F.lit(1))
+    sizes = members.groupBy("key").agg(parts(F.when(~F.col("main"), weight)).alias("rows"), parts(weight).alias("cols"))
     dealt = members.join(sizes, "key").withColumn("h", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(2**31)))
     row, col = F.col("h") % F.col("rows"), F.col("h") % F.col("cols")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
     as_row = dealt.where(~F.col("main")).select("*", row.cast("long").alias("i"), spread(F.col("cols")).alias("j"), F.lit(True).alias("in_row"))
     as_col = dealt.select("*", spread(F.col("rows")).alias("i"), col.cast("long").alias("j"), F.lit(False).alias("in_row"))
-    columns = ["key", "i", "j", "band", "node", "n", "comp", "regs", "in_row"]
-    per = REGISTERS // BANDS
+    columns = ["task", "key", "i", "j", "band", "node", "n", "comp", "regs", "set", "in_row"]
+    # small buckets share a task, a block of a large one has its own
+    total = members.agg(F.sum(weight)).first()[0] or 0
+    shared_task = F.pmod(F.xxhash64("key"), F.lit(max(1, int(2 * total // block))))
+    task = F.when((F.col("rows") == 1) & (F.col("cols") == 1), shared_task).otherwise(-1 - F.pmod(F.xxhash64("key", "i", "j"), F.lit(2**62))).alias("task")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, band = pdf[pdf.in_row], pdf[~pdf.in_row], int(pdf.band.iloc[0])
-        regs_l, regs_r = (np.frombuffer(b"".join(x.regs), np.uint16).reshape(-1, REGISTERS) for x in (left, right))
-        n_r, comp_r, node_r = right.n.to_numpy(float), right.comp.to_numpy(), right.node.to_numpy()
+        pdf = pdf.sort_values(["key", "i", "j", "in_row"], kind="stable")
+        regs = np.frombuffer(b"".join(pdf.regs), np.uint16).reshape(-1, REGISTERS)
+        node, comp, n, sets, band, in_row = (pdf[c].to_numpy() for c in ("node", "comp", "n", "set", "band", "in_row"))
+        blocks = pdf[["key", "i", "j"]].to_numpy()
+        heads = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]).any(1)))
         found = []
-        for node, n, comp, own in zip(left.node, left.n, left.comp, regs_l, strict=True):
-            near = np.flatnonzero((comp_r != comp) & (100 * np.minimum(n, n_r) >= percent * np.maximum(n, n_r)) & (node_r != node))
-            if len(near) and band:
-                near = near[~(own == regs_r[near])[:, : band * per].reshape(len(near), band, per).all(2).any(1)]
-            if len(near):
-                more, less = (own > regs_r[near]).sum(1), (own < regs_r[near]).sum(1)
-                good = near[estimate(more, less, np.full(len(near), float(n)), n_r[near]) >= floor]
-                found += [(min(node, x), max(node, x)) for x in node_r[good].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        for low, high in zip(heads, np.append(heads[1:], len(pdf)), strict=True):
+            mid = low + int((~in_row[low:high]).sum())
+            side = lambda x: Members(node[x], comp[x], n[x], regs[x], sets[x])
+            if low < mid < high:
+                found += links_of_block(side(slice(mid, high)), side(slice(low, mid)), int(band[low]), percent, floor)
+        wordcodes.tidy()
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    tasks = as_row.select(columns).unionByName(as_col.select(columns))
-    return tasks.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    tasks = as_row.withColumn("task", task).select(columns).unionByName(as_col.withColumn("task", task).select(columns))
+    return tasks.groupBy("task").applyInPandas(compare, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, floor: float = 0.67, block: int = 2048, most_held: int = 2_000_000) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, floor: float = 0.64, block: int = 1 << 19, most_held: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, th) of every row; th is the hash of its text.
 
     Rows whose sets overlap by ``percent`` or more (Jaccard) are linked;
     component_id is the least id reachable over links, the row's own included.
     ``most_held`` bounds the text hashes held by every executor; more are met
-    in a shuffled join.
+    in a shuffled join.  ``block`` bounds the shingles on a side of a block.
     """
+    scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("th"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
-    sketch = stage(_sketch(docs, k), "sketch")
-    whole = sketch.where("n > 0").withColumn("node", F.xxhash64("print"))
-    nodes = stage(whole.groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("th").alias("th"), F.first("regs").alias("regs")), "nodes")
+    sketch = scratch.put(_sketch(docs, k), "sketch")
+    once = sketch.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("th").alias("th"), F.first("regs").alias("regs"))
+    nodes = scratch.put(once.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once: it is written at once
     per = 2 * (REGISTERS // BANDS)
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * per + 1, per)) for i in range(BANDS)])
     banded = nodes.select("node", "n", F.posexplode(keys).alias("band", "key"))
-    met = stage(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "met")
-    shared = stage(banded.join(met, "key"), "shared")
+    met = scratch.put(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "met")
+    shared = scratch.put(banded.join(met, "key"), "shared")
     # a node that meets many others in its bands is likely the text the others were made from
-    degree = stage(shared.groupBy("node").agg(F.sum("members").alias("degree")), "degree")
+    degree = scratch.put(shared.groupBy("node").agg(F.sum("members").alias("degree")), "degree")
     known_degree = shared.join(degree, "node").drop("members")
-    hubs = stage(known_degree.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("rep")), "hubs")
-    placed = stage(shared.drop("members").join(hubs, "key"), "placed")
+    hubs = scratch.put(known_degree.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("rep")), "hubs")
+    placed = scratch.put(shared.drop("members").join(hubs, "key"), "placed")
+    scratch.drop("met", "shared", "degree", "hubs")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     stars = placed.select(F.col("rep.node").alias("a"), F.col("node").alias("b"), F.col("rep.n").alias("n_a"), F.col("n").alias("n_b")).where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
-    links = stage(_verified(_estimated(stars, nodes, floor), docs, nodes, k, percent, most_held), "links")
+    links = scratch.put(_verified(_estimated(stars, nodes, floor), docs, nodes, k, percent, most_held, scratch), "links")
+    scratch.drop("pairs", "asked", "sets")
     first = connected(links)
 
     # what the hubs did not link
     comp = F.coalesce("root", "node")
     known = placed.join(first, "node", "left").select("key", "band", "node", "n", comp.alias("comp"), F.col("rep.node").alias("rep"))
     torn = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rest = stage(known.join(torn, "key", "left_semi"), "rest")
+    rest = scratch.put(known.join(torn, "key", "left_semi"), "rest")
+    scratch.drop("placed")
     if not rest.isEmpty():
         main = rest.where("node = rep").select("key", F.col("comp").alias("rep_comp"))
-        members = rest.join(main, "key").join(nodes.select("node", "regs"), "node").select("key", "band", "node", "n", "comp", "regs", (F.col("comp") == F.col("rep_comp")).alias("main"))
-        crossed = stage(_cross_pairs(members, percent, floor, block), "crossed")
+        full = scratch.put(_sets(rest.select("node"), docs, nodes, k, most_held, scratch).join(nodes.select("node", "regs"), "node"), "full")
+        marked = scratch.put(rest.join(main, "key").select("key", "band", "node", "n", "comp", (F.col("comp") == F.col("rep_comp")).alias("main")), "marked")
+        crossed = scratch.put(_cross_links(marked.join(full, "node"), percent, floor, block), "crossed")
+        scratch.drop("asked", "sets", "full", "marked")
         if not crossed.isEmpty():
-            sized = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
-            more = _verified(crossed.join(sized("a"), "a").join(sized("b"), "b").select("a", "b", "n_a", "n_b"), docs, nodes, k, percent, most_held)
-            first = connected(links.unionByName(more))
-    labelled = nodes.join(first, "node", "left").select("node", "label", comp.alias("comp"))
-    least = labelled.groupBy("comp").agg(F.min("label").alias("component_id"))
-    of_node = labelled.join(least, "comp").select("node", "component_id")
-    rows = sketch.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.xxhash64("print")).alias("node"))
-    return rows.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th")
+            first = connected(links.unionByName(crossed))
+    # both written: a component that holds most nodes is then split in the join
+    labelled = scratch.put(nodes.join(first, "node", "left").select("node", "print", "label", comp.alias("comp")), "labelled")
+    least = scratch.put(labelled.groupBy("comp").agg(F.min("label").alias("component_id")), "least")
+    of_print = scratch.put(labelled.join(least, "comp").select("print", "component_id"), "named")
+    scratch.drop("rest", "links", "crossed", "nodes", "labelled", "least")
+    return sketch.select("doc_id", "th", F.col("n").alias("n_shingles"), "print").join(of_print, "print", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th")
