@@ -23,9 +23,10 @@ def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the words of passages of over 50 words that stand elsewhere (they may be shorter than 400 bytes)."""
     docs = read_table(spark, sf_dir, "documents")
     judged = lpf.judge_texts(docs).select("tid", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid")).join(judged, "tid").drop("tid")
+    return lpf.repeated_words(docs).join(judged, "tid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def test_repeats(spark, docs, rows, keep):
     for t in order:
         total.update(windows[t])
     got = {r.tid: r for r in lpf.judge_texts(docs, length=length, keep=keep, most_classes=2).collect()}
-    tid = {r.t: r.h for r in spark.createDataFrame([(t,) for t in order], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    tid = {t: hashlib.md5(t.encode()).digest() for t in order}
     for t in order:
         data, marked = t.encode(), set()
         for k, w in enumerate(windows[t]):
@@ -170,12 +170,37 @@ def test_repeats(spark, docs, rows, keep):
     assert lpf.judge_texts(_empty(spark)).count() == 0
 
 
-def test_longest_previous_factors():
-    rng = random.Random(3)
-    data = bytes(rng.choice(b"ab") for _ in range(60))
-    lpf_array = lpf.longest_previous_factors(data)
-    for i in range(60):
-        assert lpf_array[i] == max((n for n in range(60 - i + 1) if any(data[j : j + n] == data[i : i + n] for j in range(i))), default=0)
+def test_repeated_words(spark):
+    rng = random.Random(8)
+    passage = _words(rng, 53).split()
+    texts = [
+        _words(rng, 30) + " " + " ".join(passage) + " " + _words(rng, 40), "\n".join(passage).upper() + " " + _words(rng, 9), _words(rng, 12) + " " + " ".join(passage[:50]) + " " + _words(rng, 12),
+        _words(rng, 300), None, "", "same " * 51, "a b", "a b", _words(rng, 60),
+    ]
+    texts.append(texts[-1])
+    got = {r.doc_id: r.n_passage_words for r in lpf.repeated_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    lists = [(t or "").lower().split() for t in texts]
+    windows = collections.Counter(tuple(w[k : k + 51]) for w in lists for k in range(len(w) - 50))
+    for i, w in enumerate(lists):
+        assert got[i] == len({p for k in range(len(w) - 50) if windows[tuple(w[k : k + 51])] > 1 for p in range(k, k + 51)}), i
+    assert got[0] == got[1] == 53 and got[2] == 0 and got[9] == 60
+
+
+@pytest.mark.parametrize("cap", [16, 40, 60])
+def test_longest_previous_factors(cap):
+    rng = random.Random(cap)
+    for alphabet in (b"ab", b"abcdefgh", b"a"):
+        data = bytes(rng.choice(alphabet) for _ in range(300)) + b"abcabcabc" * 12
+        buf, starts = np.frombuffer(data, np.uint8), np.arange(len(data) - cap + 1)
+        got, source = lpf.longest_previous_factors(buf, starts, cap)
+        for i in starts.tolist():
+            best = 0
+            for j in range(i):
+                n = 0
+                while n < cap and data[j + n] == data[i + n]:
+                    n += 1
+                best = max(best, n)
+            assert got[i] == best and (not best or source[i] < i and data[source[i] : source[i] + best] == data[i : i + best])
 
 
 def test_histogram_sort(spark, docs, rows):
@@ -227,7 +252,7 @@ def test_near_duplicates(spark, k):
                 p, q = find(i), find(j)
                 root[max(p, q)] = min(p, q)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in setsketch.near_duplicates(df, k=k, block=7).collect()}
+    got = {r.doc_id: r for r in setsketch.near_duplicates(df, k=k, block=1000).collect()}
     assert {i: got[i].component_id for i in got} == {i: find(i) for i in range(len(texts))}
     assert all(got[i].n_shingles == len(s) for i, s in enumerate(sets))
     assert setsketch.near_duplicates(df.limit(0)).count() == 0
@@ -242,6 +267,21 @@ def test_sketch_estimate_is_near_the_overlap():
     assert (np.maximum(regs[0], regs[1]) == merged[0]).all()
     j = setsketch.estimate(np.array([(regs[0] > regs[1]).sum()]), np.array([(regs[0] < regs[1]).sum()]), np.array([900.0]), np.array([900.0]))
     assert abs(j[0] - 0.8) < 0.12
+    more, less, n_a, n_b = (rng.integers(1, 70, 500), rng.integers(1, 70, 500), rng.integers(50, 90, 500).astype(float), rng.integers(50, 90, 500).astype(float))
+    j = setsketch.estimate(more, less, n_a, n_b)
+    for floor in (0.4, 0.64, 0.7):
+        got = setsketch.reaches(more, less, n_a, n_b, floor)
+        assert (got == (j >= floor))[abs(j - floor) > 1e-4].all() and 0 < got.sum() < 500
+
+
+def test_a_block_tells_one_link_for_each_two_components():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 2**62, 100)
+    sets = [np.sort(np.concatenate([base[: 100 - 5 * i], rng.integers(1, 2**62, 5 * i)])) for i in (0, 1, 1, 2, 4)]
+    regs = setsketch.registers(np.concatenate(sets).astype(np.uint64), np.arange(6) * 100)
+    rows = setsketch.Members(np.arange(5), np.arange(5), np.full(5, 100), regs, sets)
+    links = setsketch.links_of_block(rows, rows, 0, 80, 0.5)
+    assert len(links) == 3 and {x for a in links for x in a} == {0, 1, 2, 3}  # node 4 is below 0.8 of every other
 
 
 def test_cross_parsing(spark):
