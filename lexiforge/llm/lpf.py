@@ -46,6 +46,7 @@ from lexiforge.llm.common import Scratch, blocks, shuffles_dropped
 _LOWEST = -(2**63)
 _PLACE_BITS = 24
 _PIECE = 1_000_000
+_SORTED = 150_000
 
 
 def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
@@ -249,9 +250,17 @@ def _by_suffix_order(runs: DataFrame, texts: DataFrame, length: int, first: bool
     import pandas as pd
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "tid", "start"], kind="stable")
-        hits = repeated_windows(list(pdf.data), pdf.windows.to_numpy(np.int64), length, first)
-        return pd.DataFrame({"file": pdf.file, "content": pdf.content, "ranges": [_as_ranges(h) for h in hits]})
+        pdf = pdf.sort_values(["file", "ord", "tid", "start"], kind="stable", ignore_index=True)
+        file = pdf.file.to_numpy()
+        heads = np.flatnonzero(np.append(True, file[1:] != file[:-1]))
+        per_file = np.add.reduceat(pdf.data.map(len).to_numpy(), heads)
+        ranges, stops = [None] * len(pdf), np.append(heads[1:], len(pdf))
+        for s, e in blocks(per_file.tolist(), _SORTED):  # whole files, few enough for the processor's cache
+            own = pdf.iloc[heads[s] : stops[e - 1]].sort_values(["ord", "tid", "start"], kind="stable")
+            for i, h in zip(own.index, repeated_windows(list(own.data), own.windows.to_numpy(np.int64), length, first), strict=True):
+                ranges[i] = _as_ranges(h)
+        wordcodes.tidy()
+        return pd.DataFrame({"file": pdf.file, "content": pdf.content, "ranges": ranges})
 
     dealt = _with_bytes(runs, texts, length).withColumn("task", F.pmod(F.xxhash64("file"), F.lit(tasks)))
     return dealt.groupBy("task").applyInPandas(lambda pdf: judge(pdf.drop(columns="task")), _FOUND)
