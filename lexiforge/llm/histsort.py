@@ -10,18 +10,22 @@ rows) reach the driver.  Then the rows are exchanged once.
 
 Rows are ordered by the pair (key, tie): the key is a whole number, the tie a
 hash of the whole row, so a key that holds a third of all rows is split as
-well.  Each shard is made of ``cells`` ranges found in the same way.  A row's
-slot is its rank in its shard: the rows of earlier ranges, from the counts,
-plus its rank within its own.  Ranges are the unit of work, so a shard may be
-larger than any task.
-
-Defined results: null keys sort first; rows equal in every column share a cell
-and stand side by side; an empty table gives an empty result; a column named
-like a result column gives way to it.
+well.  Each shard is made of ``cells`` ranges found in the same way, as many as
+the bytes ask for.  A row's slot is its rank in its shard: the rows of earlier
+ranges, from the counts, plus its rank within its own.  Ranges are the unit of
+work, so a shard may be larger than any task.  The driver holds the splitters
+(16 bytes a range); with many of them a round probes fewer cells for each.
+
+Defined results: null keys sort first, null texts count 8 bytes; a very long
+text is one row like any other; ties of the key follow the hash of the row, and
+rows equal in every column share a cell and stand side by side; an empty table
+gives an empty result; a column named like a result column gives way to it,
+other columns are carried.
 """
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,25 +34,25 @@ from pyspark.sql import functions as F
 from lexiforge.llm.common import stage
 
 _LOW = -(2**63)
+#: Counts that a round brings to the driver, about.
+_COUNTS = 1 << 20
 
 
-def _below(k: Column, t: Column, at: tuple[int, int]) -> Column:
-    """Is (k, t) below the splitter ``at``?"""
-    if at[1] == _LOW:
-        return k < at[0]
-    return (k < at[0]) | ((k == at[0]) & (t < at[1]))
+def _long_array(values: list[int]) -> Column:
+    """A constant array, however long."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
-def _rank_of(k: Column, t: Column, splitters: list[tuple[int, int]]) -> Column:
-    """How many of the ascending splitters are not above (k, t), by binary search."""
-
-    def part(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(_below(k, t, splitters[mid]), part(low, mid)).otherwise(part(mid + 1, high))
-
-    return part(0, len(splitters))
+def _with_rank(df: DataFrame, name: str, k: str, t: str, splitters: list[tuple[int, int]]) -> DataFrame:
+    """How many of the ascending splitters are not above (k, t), by binary search: one projection a step."""
+    splitters = [s for s in splitters if s[0] < 2**63]  # no key reaches the others
+    ks, ts = _long_array([s[0] for s in splitters]), _long_array([s[1] for s in splitters])
+    df = df.withColumn(name, F.lit(0))
+    for bit in reversed(range(len(splitters).bit_length())):
+        at = F.col(name) + F.lit((1 << bit) - 1)
+        not_above = (F.get(ks, at) < F.col(k)) | ((F.get(ks, at) == F.col(k)) & (F.get(ts, at) <= F.col(t)))
+        df = df.withColumn(name, F.when(not_above, at + 1).otherwise(F.col(name)))
+    return df
 
 
 def _shift_for(low: int, high: int, bits: int) -> int:
@@ -110,14 +114,14 @@ def find_splitters(keyed: DataFrame, goals: list[tuple[int, float]], bits: int =
     return sorted(found.values())
 
 
-def histogram_sort(df: DataFrame, key: str, text: str = "text", shards: int = 24, tolerance: float = 0.0, cells: int | None = None, overhead: int = 8, range_bytes: int = 48 << 20) -> DataFrame:
+def histogram_sort(df: DataFrame, key: str, text: str = "text", shards: int = 24, tolerance: float = 0.0, cells: int | None = None, overhead: int = 8, range_bytes: int = 128 << 20) -> DataFrame:
     """``df`` in ``shards`` contiguous key ranges of near equal bytes.
 
     A row counts the UTF-8 bytes of its text (null: none) plus ``overhead``.
     Adds size, shard and slot (0, 1, ... within the shard, in key order).  With
     ``tolerance`` 0 shard i holds exactly the rows before which at least
     ``i / shards`` of all bytes lie; inner ranges may miss by a fifth.  By
-    default a shard has as many ranges as ``range_bytes`` asks for, 8 to 32.
+    default a shard has as many ranges as ``range_bytes`` asks for, 8 at least.
     """
     source = df.drop(*[c for c in ("size", "shard", "slot") if c in df.columns])
     ready = source.select(
@@ -130,22 +134,21 @@ def histogram_sort(df: DataFrame, key: str, text: str = "text", shards: int = 24
     total = keyed.agg(F.sum("size")).first()[0]
     if total is None:
         return ready.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).drop("__k", "__t")
-    cells = cells or max(8, min(32, -(-total // (shards * range_bytes))))
+    cells = cells or max(8, -(-total // (shards * range_bytes)))
     n = shards * cells
     goals = [(-(-total * i // n), (tolerance if i % cells == 0 else 0.2) * total / n) for i in range(1, n)]
-    splitters = find_splitters(keyed, goals)
-    inside = _rank_of(F.col("k"), F.col("t"), splitters)
-    counts = dict(keyed.groupBy(inside.alias("cell")).count().collect())  # at most shards x cells rows
+    splitters = find_splitters(keyed, goals, max(1, min(9, (_COUNTS // n).bit_length() - 1)))
+    counts = dict(_with_rank(keyed, "cell", "k", "t", splitters).groupBy("cell").count().collect())  # at most shards x cells rows
     first, at = [], 0
     for c in range(n):
         at = 0 if c % cells == 0 else at
         first.append(at)
         at += counts.get(c, 0)
-    placed = ready.withColumn("__cell", _rank_of(F.col("__k"), F.col("__t"), splitters))
+    placed = _with_rank(ready, "__cell", "__k", "__t", splitters)
     rank = F.row_number().over(Window.partitionBy("__cell").orderBy("__k", "__t"))
     return placed.select(
         *[F.col(f"`{c}`") for c in source.columns],
         "size",
         F.floor(F.col("__cell") / cells).cast("int").alias("shard"),
-        (F.get(F.lit(first).cast("array<bigint>"), F.col("__cell")) + rank - 1).alias("slot"),
+        (F.get(_long_array(first), F.col("__cell")) + rank - 1).alias("slot"),
     )
