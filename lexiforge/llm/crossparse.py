@@ -6,14 +6,18 @@ language that needs the fewest phrases per character wins.  Phrases do not
 cross white space (a phrase may begin with the blank before a word), so the
 phrases of a text are the sum over its words and each distinct word is parsed
 once per worker; parsing walks all words of a block together, one character a
-step.
+step.  A word of more than 64 characters is parsed in stretches of 64.
 
 The automata come from a bounded sample: per language at most ``sample_rows``
-distinct labelled texts, those of least hash, and ``sample_chars`` characters.
+distinct labelled texts, those of least hash, of each at most ``row_chars``
+characters, and ``sample_chars`` characters in all, to which every sampled text
+gives its share.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; so
 is every text when nothing is labelled; ties go to the language first in the
-alphabet; repeated rows are judged alike; extra columns are carried along.
+alphabet; repeated rows are judged alike; very long texts, and texts of one very
+long word, are read whole; extra columns are carried along, one named like a
+result column gives way to it.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from lexiforge.llm import wordcodes
 from lexiforge.llm.common import map_texts, stage
 
+_STRETCH = 64
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -91,7 +96,7 @@ def count_phrases(letters: dict[str, int], table: np.ndarray, codes: np.ndarray,
 class PhraseCounts(wordcodes.WordMemo):
     """Per word: its characters, then its phrases in every language."""
 
-    def __init__(self, automata: list, capacity: int = 400_000):
+    def __init__(self, automata: list, capacity: int = wordcodes.CAPACITY):
         self.automata = automata
         super().__init__(capacity)
 
@@ -99,15 +104,19 @@ class PhraseCounts(wordcodes.WordMemo):
         parts = [" " + w.decode().lower() for w in words]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
-        ends = np.cumsum(sizes)
-        return np.stack([sizes, *(count_phrases(a, t, codes, ends - sizes, ends) for a, t in self.automata)], axis=1).tolist()
+        stretches = -(-sizes // _STRETCH)
+        first = np.cumsum(stretches) - stretches
+        inner = np.arange(stretches.sum()) - np.repeat(first, stretches)
+        begin = np.repeat(np.cumsum(sizes) - sizes, stretches) + inner * _STRETCH
+        end = np.minimum(begin + _STRETCH, np.repeat(np.cumsum(sizes), stretches))
+        return np.stack([sizes, *(np.add.reduceat(count_phrases(a, t, codes, begin, end), first) for a, t in self.automata)], axis=1).tolist()
 
 
 def _has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text.decode()))
 
 
-def train(df: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = 200, sample_chars: int = 30_000) -> list[tuple[str, dict, np.ndarray]]:
+def train(df: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = 200, sample_chars: int = 30_000, row_chars: int = 2000) -> list[tuple[str, dict, np.ndarray]]:
     """Automata of every label of ``df``: (label, letters, table), labels ascending."""
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("lang", "text"))
@@ -122,13 +131,20 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", sample_rows: in
     near = marked.join(held(short), "lang", "left").where(F.col("near") | F.col("short"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     picked = near.withColumn("r", rank).where(F.col("r") <= sample_rows).select("lang", "h", "r")
-    share = max(1, 4 * sample_chars // sample_rows)
-    # of a very long row only a stretch enters the sample
-    chosen = rows.join(held(picked), ["lang", "h"]).groupBy("lang", "r").agg(F.min(F.substring("text", 1, max(share, 2000))).alias("text"))
+    chosen = rows.join(held(picked), ["lang", "h"]).groupBy("lang", "r").agg(F.min(F.substring("text", 1, row_chars)).alias("text"))
     texts: dict[str, list[str]] = {}
     for label, _, part in sorted(chosen.collect()):  # at most labels x sample_rows short rows
         texts.setdefault(label, []).append(" ".join(part.lower().split()))
-    return [(label, *suffix_automaton((" " + " ".join(parts))[:sample_chars])) for label, parts in sorted(texts.items())]
+    return [(label, *suffix_automaton(" " + " ".join(shares(parts, sample_chars)))) for label, parts in sorted(texts.items())]
+
+
+def shares(parts: list[str], total: int) -> list[str]:
+    """The beginnings of all parts, as long as ``total`` allows when each gets an equal share of what shorter ones leave."""
+    out, left = [], total
+    for i, part in enumerate(sorted(parts, key=lambda x: (len(x), x))):
+        out.append(part[: max(1, left // (len(parts) - i) - 1)])
+        left -= len(out[-1]) + 1
+    return out
 
 
 def identify(df: DataFrame, trained: list, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -137,6 +153,7 @@ def identify(df: DataFrame, trained: list, text: str = "text", keep: list[str] |
     shared = df.sparkSession.sparkContext.broadcast([t[1:] for t in trained])
 
     def make():
+        wordcodes.held()
         memo = PhraseCounts(shared.value)
 
         def judge(texts):
