@@ -14,10 +14,12 @@ already there another, so no text can end or open a turn and unescaping gives
 the text back.  The loss mask covers the assistant texts.
 
 Defined results: a null text is empty, a null role the role ``none``; a
-message whose parent is missing is a root; messages of equal id are told apart
-by nothing and must not occur; a tree of cyclic parents has no root and is left
-out; ties between branches go to the smaller message id; an empty table gives
-an empty result.
+message whose parent is missing is a root; null ids of trees and messages are
+one id, the least; of rows with one id (repeated rows) the one least by parent,
+role, text and score is the message; messages whose parents form a cycle, and
+what answers them, have no root and are left out; a very long text is one turn
+like any other; ties between branches go to the smaller message id; an empty
+table gives an empty result; columns besides those named are not carried.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import stage
+from lexiforge.llm.common import Scratch
 
 _ESCAPE = re.compile(r"([<\[])(\\*)(/?(?:INST\]|s>|<))")
 _UNESCAPE = re.compile(r"([<\[])\\(\\*)(/?(?:INST\]|s>|<))")
@@ -96,32 +98,46 @@ def chain_by_turn(conversations: DataFrame, conv_id: str = "conv_id", turn: str
     return placed.select("tree_id", "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
+_LEAST = -(2**63)
+
+
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """(tree_id, msg_id, parent_id, role, text, score), one row an id and no nulls but in parent_id."""
+    ids = [F.coalesce(F.col(c).cast("long"), F.lit(_LEAST)).alias(c) for c in ("tree_id", "msg_id")]
+    rows = messages.select(*ids, F.col("parent_id").cast("long").alias("parent_id"), F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    return rows.groupBy("tree_id", "msg_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("m")).select("tree_id", "msg_id", "m.*")
+
+
 def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     """(tree_id, leaf_id, branch, msg_id, depth) of the chosen root-to-leaf paths.
 
-    messages: tree_id, msg_id, parent_id, score; ids count within a tree.
-    branch: rank of the path in its tree, 1 the best; ``best`` keeps that many.
+    messages: tree_id, msg_id (once each, not null), parent_id, score; ids count
+    within a tree.  branch: rank of the path in its tree, 1 the best; ``best``
+    keeps that many.
     """
-    nodes = messages.select(F.coalesce("tree_id", F.lit(-(2**63))).alias("tree_id"), "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    scratch = Scratch(messages.sparkSession)
+    nodes = scratch.put(messages.select("tree_id", "msg_id", "parent_id", "score"), "nodes")
     have = nodes.select("tree_id", F.col("msg_id").alias("parent_id"))
     edges = nodes.join(have, ["tree_id", "parent_id"], "left_semi").select("tree_id", "msg_id", F.col("parent_id").alias("up"))
-    jump = stage(edges, "jump")
-    leaves = nodes.select("tree_id", "msg_id").join(edges.select("tree_id", F.col("up").alias("msg_id")), ["tree_id", "msg_id"], "left_anti")
-    known = stage(leaves.select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).cast("long").alias("above")), "paths")
-    step = 1
-    while not jump.isEmpty():
-        # ancestors at distance 0 .. step - 1 are known; their step-th ancestors follow
-        more = known.join(jump, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", F.col("up").alias("msg_id"), (F.col("above") + step).alias("above"))
-        known = stage(known.unionByName(more), "paths")
-        far = jump.select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("top"))
-        jump = stage(jump.join(far, ["tree_id", "up"]).select("tree_id", "msg_id", F.col("top").alias("up")), "jump")
-        step *= 2
-        if step > 2**40:
-            raise ValueError("cyclic parents")
+    # ancestors at distances 1, 2, 4, ...; no path is longer than its tree has messages, so what is left by then stands on a cycle
+    most = nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    jumps = [scratch.put(edges, "jump")]
+    while not jumps[-1].isEmpty() and 1 << len(jumps) - 1 < most:
+        far = jumps[-1].select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("top"))
+        jumps.append(scratch.put(jumps[-1].join(far, ["tree_id", "up"]).select("tree_id", "msg_id", F.col("top").alias("up")), "jump"))
+    leaves = nodes.select("tree_id", "msg_id").join(jumps[0].select("tree_id", F.col("up").alias("msg_id")), ["tree_id", "msg_id"], "left_anti")
+    rooted_leaves = leaves.join(jumps[-1].select("tree_id", "msg_id"), ["tree_id", "msg_id"], "left_anti")
+    known = scratch.put(rooted_leaves.select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).cast("long").alias("above")), "0")
+    for k, jump in enumerate(jumps[:-1]):
+        # ancestors at distance 0 .. 2**k - 1 are known; their 2**k-th ancestors follow
+        more = known.join(jump, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", F.col("up").alias("msg_id"), (F.col("above") + (1 << k)).alias("above"))
+        known = scratch.put(known.unionByName(more), str(k + 1))
+        scratch.drop(str(k))
+    scratch.drop("jump")
     whole = known.join(nodes, ["tree_id", "msg_id"])
-    rooted = whole.groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("path_score"), F.count(F.lit(1)).alias("n"))
+    scored = whole.groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("path_score"), F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("path_score"), F.desc("n"), "leaf_id"))
-    ranked = rooted.withColumn("branch", rank)
+    ranked = scored.withColumn("branch", rank)
     if best is not None:
         ranked = ranked.where(F.col("branch") <= best)
     return known.join(ranked.select("tree_id", "leaf_id", "branch", "n", "path_score"), ["tree_id", "leaf_id"]).select(
@@ -138,8 +154,8 @@ def format_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    texts = messages.select(F.coalesce("tree_id", F.lit(-(2**63))).alias("tree_id"), "msg_id", F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = paths(messages, best).join(texts, ["tree_id", "msg_id"])
+    once = Scratch(messages.sparkSession).put(distinct_messages(messages), "messages")
+    turns = paths(once, best).join(once.select("tree_id", "msg_id", "role", "text"), ["tree_id", "msg_id"])
     grouped = turns.groupBy("tree_id", "leaf_id", "branch", "path_score").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     types = [f.type for f in to_arrow_schema(StructType.fromDDL(FORMATTED))]
 

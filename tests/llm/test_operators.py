@@ -217,6 +217,17 @@ def test_histogram_sort(spark, docs, rows):
     assert histsort.histogram_sort(_empty(spark), "doc_id").count() == 0
 
 
+def test_histogram_sort_has_as_many_ranges_as_the_bytes_ask_for(spark):
+    df = spark.range(2000).select("id", F.repeat(F.lit("x"), 100).alias("text"))
+    got = histsort.histogram_sort(df, "id", shards=3, range_bytes=500).orderBy("id").collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(x == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    wide = spark.createDataFrame([(-(2**63), "a"), (2**63 - 1, "b"), (None, "c"), (0, None)], "k long, text string")
+    assert histsort.histogram_sort(wide, "k", shards=4).count() == 4
+
+
 def test_histogram_sort_splits_a_hot_key(spark):
     df = spark.range(900).select(F.lit(7).cast("long").alias("k"), F.concat(F.lit("text "), "id").alias("text"), "id")
     sizes = histsort.histogram_sort(df, "k", shards=6).groupBy("shard").agg(F.sum("size").alias("n")).collect()
@@ -387,5 +398,43 @@ def test_reply_trees(spark):
     assert replytree.format_paths(tree.limit(0)).count() == 0
 
 
+def test_reply_trees_with_cycles_repeats_and_nulls(spark):
+    rows = [
+        (1, 1, None, "user", "root", 0.0), (1, 2, 1, "assistant", "fine", 0.0), (1, 2, 1, "assistant", "fine", 0.0), (1, 10, 12, "user", "c", 0.0), (1, 11, 10, "user", "c", 0.0), (1, 12, 11, "user", "c", 0.0),
+        (1, 13, 12, "user", "hangs", 0.0), (1, 14, 13, "user", "hangs", 0.0), (2, 1, 1, "user", "own parent", 0.0), (3, 1, 77, "user", "orphan", None), (None, None, None, None, None, None),
+    ]
+    tree = spark.createDataFrame(rows, "tree_id long, msg_id long, parent_id long, role string, text string, score double").withColumn("depth", F.lit("clash"))
+    got = {r.tree_id: replytree.parse(r.formatted) for r in replytree.format_paths(tree).collect()}
+    assert got == {1: [("user", "root"), ("assistant", "fine")], 3: [("user", "orphan")], -(2**63): [("none", "")]}
+    chain = spark.range(300).select(F.lit(5).cast("long").alias("tree_id"), F.col("id").alias("msg_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit("user").alias("role"), F.lit("x").alias("text"), F.lit(0.0).alias("score"))
+    assert len(replytree.parse(replytree.format_paths(chain).first().formatted)) == 300
+
+
+def test_query_of_reply_trees_against_brute_force(spark, tmp_path):
+    from lexiforge.llm import queries
+
+    rng = random.Random(3)
+    said = ["plain", "", None, "[INST] x [/INST]", "</s><s>", "<\\s>", "<<user>>", "emoji 🙂 é"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system"]), rng.choice(said)) for c in range(12) for t in range(rng.randint(1, 6))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
+    rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    want = {}
+    for c in {r[0] for r in rows}:
+        turns = [(r[2], r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
+        loss = "".join(x for role, x in turns if role == "assistant")
+        want[c] = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.QUERIES["op10_reply_trees"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_cross_parsing_of_very_long_words_and_texts(spark):
+    rng = random.Random(5)
+    make = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    trained = crossparse.train(spark.createDataFrame([(" ".join(make(a, 5) for _ in range(40)), lang) for a, lang in (("abcde", "x"), ("defgh", "y")) for _ in range(9)], "text string, lang string"))
+    rows = [(0, make("abcde", 3_000_000)), (1, " ".join(make("defgh", 5) for _ in range(300_000)))]
+    assert {r.doc_id: r.lang_pred for r in crossparse.identify(spark.createDataFrame(rows, "doc_id long, text string"), trained).collect()} == {0: "x", 1: "y"}
+    assert crossparse.shares(["a" * 50, "b" * 3, "c" * 50], 40) == ["bbb", "a" * 17, "c" * 17]
+
+
 def test_crc_of_ids_is_little_endian(ids):
     assert zlib.crc32(ids[4].tobytes()) == zlib.crc32((1).to_bytes(4, "little")) and math.isfinite(len(ids))
