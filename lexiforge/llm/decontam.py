@@ -20,7 +20,10 @@ alignment.
 Defined results: null and empty texts match nothing; items of fewer than
 ``least`` tokens are not searched; items of slots only are searched literally;
 repeated documents (equal id) are one
-document; the columns used are ids and texts, others are ignored.
+document; very long texts are searched whole; of several ways in which a
+document leaks an item the best covered is told, ties going to more windows and
+then to the literal one; an empty table on either side gives an empty result;
+the columns used are ids and texts, others, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm import wordcodes
-from lexiforge.llm.common import blocks
+from lexiforge.llm.common import blocks, stage
 
 #: Units of measure that may follow a number (fixed values).
 UNITS = frozenset(
@@ -210,13 +213,12 @@ def leaks(
     all windows in a shuffled join.  The result is the same.
     """
     sizes = list(range(least, window + 1))
-    items = _windowed(benchmark, item_id, text, sizes, window, True, None).cache()
+    items = stage(_windowed(benchmark, item_id, text, sizes, window, True, None), "items")
     count = items.count()
     held = count <= most_held
     wanted = np.unique(np.array([r[0] for r in items.select("wh").distinct().collect()], np.int64).view(np.uint64)) if held else None
     used = sorted(r[0] for r in items.select("size").distinct().collect())
     if not used:
-        items.unpersist()
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, kind string, n_windows long, coverage double, n_slots int")
     found = _windowed(docs, doc_id, text, used, window, False, wanted)
     right = items.select("wh", "kind", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("words").alias("item_words"), "size", F.col("n_tokens").alias("item_tokens"))
