@@ -30,12 +30,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = setsketch.near_duplicates(docs, k=5, percent=80)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(stays, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(docs.columns)
+    kept = keyed.join(stays, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__h"]).select(docs.columns)  # rows of one id and text are one document
+
+
+#: Bytes of a repeated passage: what fifty words of short prose take.
+PASSAGE = 256
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less every later copy of a 400-byte passage; what is left empty goes."""
-    cut = lpf.remove_repeats(docs, keep="first")
+    """Texts less every later copy of a passage of ``PASSAGE`` bytes; what is left empty goes."""
+    cut = lpf.remove_repeats(docs, length=PASSAGE, keep="first")
     left = cut.where(F.col("text").isNull() | (F.length("text") > 0))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else left
 
