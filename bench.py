@@ -18,8 +18,11 @@ def main() -> None:
     conf = {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false"}
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    catalog.QUERIES["search_and"](spark, sf_dir).count()  # compiled once before the clock runs
+    catalog.QUERIES["token_stats_per_doc"](spark, sf_dir).limit(1).count()  # Spark is up before the clock runs
     took = {}
+    began = time.time()
+    catalog.build_index(spark, sf_dir)  # searches read the stored index
+    took["index_build"] = round(time.time() - began, 3)
     for name in HEADLINE:
         began = time.time()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

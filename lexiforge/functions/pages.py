@@ -21,6 +21,8 @@ _SITEMAP = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
 # Labels that count as no content, and words that mark boilerplate.
 NO_CONTENT = frozenset(("нет данных", "none", "—", "-", ""))
 NOTICE_WORDS = ("cookie", "политика", "©", "copyright", "rights")
+#: Patterns of advertising in bare strings, and those that count in whole sections besides (fixed values).
+ADVERT_STRINGS = re.compile(r"реклама|внимание!|информация исключительно|специалист.*здравоохранения|описание проверено", re.I)
 ADVERT = re.compile(r"реклама|внимание!|информация исключительно|специалист.*здравоохранения|описание проверено|крылов.*юрий.*федорович|опыт работы.*лет", re.I)
 ADVERT_PATHS = ("/ads/", "/advert/", "/reklama/", "/banner/", "?utm_", "#")
 
@@ -118,6 +120,15 @@ def unique_text(node: Node) -> str:
     return " ".join(_squeeze(s) for s in seen)
 
 
+def distinct_lines(text: str) -> str:
+    """Lines in order, less those that an earlier line contains or is contained in."""
+    kept: list[str] = []
+    for line in (x.strip() for x in text.split("\n")):
+        if line and not any(line in k or k in line for k in kept):
+            kept.append(line)
+    return "\n".join(kept)
+
+
 def link_key(url: str, base: str) -> str:
     """Absolute form of a link without fragment and trailing slashes."""
     full = url if urlparse(url).scheme else urljoin(base, url)
@@ -158,7 +169,7 @@ def label_page(html: str, url: str, base: str | None = None) -> tuple[str, list[
         around = n.parent.find("div", "span", where=lambda m: holds(m.attrs.get("data-test-id", "")) or holds(m.classes)) if n.parent else None
         if around is None and (stem := re.match(r"(.+?)-(?:label|title|header)", key)):
             around = next((by_id[f"{stem[1]}-{x}"] for x in ("content", "value", "cms") if f"{stem[1]}-{x}" in by_id), None)
-        content = unique_text(around) if around else ""
+        content = distinct_lines(unique_text(around)) if around else ""
         if not content and n.parent:
             lines = n.parent.text("\n").split("\n")
             content = "\n".join(lines[1:] if lines[0].strip() == label else lines).strip()
@@ -174,9 +185,10 @@ def label_page(html: str, url: str, base: str | None = None) -> tuple[str, list[
     text = "\n".join({_squeeze(p): p for p in reversed(parts) if _squeeze(p)}[k] for k in dict.fromkeys(_squeeze(p) for p in parts) if k)
     if len(text.split("\n")) < 3:
         main = root.find("main") or root.find("div", where=lambda n: re.search("container|main|content", n.classes)) or root.find("body")
-        more = unique_text(main) if main else ""
-        if len(more) > 10 and not any(w in more.lower() for w in NOTICE_WORDS):
-            text += "\n\n" + more
+        lines = [x.strip() for x in (unique_text(main) if main else "").split("\n")]
+        lines = [x for x in lines if len(x) > 10 and not any(w in x.lower() for w in NOTICE_WORDS)]
+        if lines:
+            text += "\n\n" + "\n".join(lines[:20])
     return text.strip(), _links(root, base, lambda k: "/drugs/" in k or base in k)
 
 
@@ -236,7 +248,8 @@ def article_page(html: str, url: str, base: str | None = None) -> tuple[str, lis
             siblings = h.parent.children[h.parent.children.index(h) + 1 :]
             stop = next((i for i, s in enumerate(siblings) if isinstance(s, Node) and s.name == "h2"), len(siblings))
             texts = [_squeeze(re.sub(r"<[^>]+>", "", s.text() if isinstance(s, Node) else s)) for s in siblings[:stop]]
-            content = " ".join(_apart([t for t in texts if len(t) > 2 and not ADVERT.search(t)], 3, 0.5))
+            advert = [(ADVERT if isinstance(s, Node) else ADVERT_STRINGS).search(t) for s, t in zip(siblings, texts, strict=False)]
+            content = " ".join(_apart([t for t, a in zip(texts, advert, strict=True) if len(t) > 2 and not a], 3, 0.5))
         if "Состав и форма выпуск" in name and (table := root.find("div", where=lambda n: "table-responsive" in n.classes.split())):
             rows = [[c.text() for c in r.find_all("td", "th")] for r in table.find_all("tr")]
             content = " ".join(f"{r[0]}: {r[1]}" for r in rows if len(r) >= 2 and r[0] and r[1]) or content
@@ -265,6 +278,28 @@ def sitemap_urls(xml: str, base: str) -> list[str]:
     return [link_key(e.text, base) for e in found if e is not None and e.text]
 
 
+def sitemap(xml: Column, base: Column) -> Column:
+    """Locations of sitemaps as an array of links in page form."""
+
+    @F.pandas_udf("array<string>")
+    def run(x: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sitemap_urls(a, c or "") for a, c in zip(x, b, strict=True)])
+
+    return run(xml, base)
+
+
+def has_article(text: Column) -> Column:
+    """More than one line once trimmed: a page of one line holds no article."""
+    return F.coalesce(F.size(F.split(F.btrim(text, F.lit(" \t\r\n\f")), "\n")) > 1, F.lit(False))
+
+
+def uncontained_lines(text: Column) -> Column:
+    """``distinct_lines`` as an array column (spaces trimmed), without leaving the JVM."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" "))), lambda x: x != "")
+    step = lambda acc, x: F.when(F.exists(acc, lambda s: F.contains(s, x) | F.contains(x, s)), acc).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(lines, F.expr("cast(array() as array<string>)"), step)
+
+
 def article_or_sitemap(html: str, url: str, base: str | None = None) -> tuple[str, list[str]]:
     if url.endswith(".xml") or "sitemap" in url.lower():
         return f"Sitemap: {url}", sitemap_urls(html, base or url)

@@ -132,9 +132,38 @@ def stem_terms(words: DataFrame, word: str = "word", name: str = "stem") -> Data
 
 
 def with_stems(terms: DataFrame, term: str = "term", name: str = "stem") -> DataFrame:
-    """``terms`` with stems, computed once per distinct word."""
-    known = stem_terms(terms.select(F.col(term).alias("__word")).distinct(), "__word", name)
-    return terms.join(known, F.col(term) == F.col("__word")).drop("__word")
+    """``terms`` with stems, computed once per distinct word; only words that stemming changes are met in the join."""
+    known = stem_terms(terms.select(F.col(term).alias("__word")).distinct(), "__word", "__stem").where("__stem <> __word")
+    return terms.join(known, F.col(term) == F.col("__word"), "left").withColumn(name, F.coalesce("__stem", term)).drop("__word", "__stem")
+
+
+def stem_word(word: str) -> str:
+    """The same chain for one word, outside a plan (SQL registration)."""
+    import re
+
+    import_pattern = {k: re.compile(p.replace(r"\z", r"\Z")) for k, p in PATTERNS.items()}
+
+    def derive(i, w):
+        r2 = len(re.match(_R2, w)[0]) if re.match(_R2, w) else 0
+        for e in DERIVATIONAL:
+            if i.endswith(e) and len(i) - len(e) >= r2:
+                return i[: -len(e)]
+        return i
+
+    chain = _steps(
+        cut=lambda name, x: None if x is None else import_pattern[name].sub(r"\1", x),
+        first=lambda *x: next((v for v in x if v is not None), None),
+        other=lambda a, b: None if a == b else a,
+        if_other=lambda a, b, c: c if a is not None and b is not None and a != b else None,
+        longer=lambda x, n, a: a if len(x) >= n else None,
+        derive=derive,
+    )
+    values = {"w": word.translate(str.maketrans(UPPER, LOWER))}
+    if len(word) < 4 or not re.search(_V, values["w"]):
+        return word
+    for name, make in chain:
+        values[name] = make(values)
+    return values["e"] if re.search(_V, values["e"]) else word
 
 
 def sql_chain(words: str) -> str:

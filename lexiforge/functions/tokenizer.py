@@ -16,7 +16,7 @@ PREFIXES = ("альфа", "бета", "гамма", "дельта", "омега"
 ABBREVIATIONS = ("в/м", "в/в", "п/к", "в/б", "в/кап", "мг", "мл", "г", "кг", "ед", "мкг", "ммоль", "нмоль", "моль", "л", "см", "мм", "таб", "кап", "амп", "фл", "уп", "шт")
 VITAMINS = (
     "A", "B", "C", "D", "E", "K", "PP", "H", "P", "U", "F",
-    *(f"B{i}" for i in range(1, 13)), *(f"D{i}" for i in range(2, 6)), *(f"K{i}" for i in range(1, 6)),
+    "B1", "B2", "B3", "B4", "B5", "B6", "B7", "B8", "B9", "B10", "B11", "B12", "D2", "D3", "D4", "D5", "K1", "K2", "K3", "K4", "K5",
 )
 
 # The letters whose case the tokenizer knows; capital Ё becomes й.
@@ -56,13 +56,13 @@ def is_vitamin(t: Column) -> Column:
     return t.isin(*VITAMINS)
 
 
-def is_abbreviation(t: Column) -> Column:
-    return lower(t).isin(*ABBREVIATIONS)
+#: What most tokens are: kept as they stand, whatever the other rules say.
+_PLAIN = r"^[a-z]+\z"
 
 
 def is_kept(t: Column) -> Column:
     """Does a cleaned token pass one of the rules?"""
-    return t.rlike(VERBATIM) | t.rlike(KEPT) | lower(t).rlike(PREFIXED) | is_vitamin(t)
+    return F.when(t.rlike(_PLAIN), True).otherwise(t.rlike(KEPT) | t.rlike(VERBATIM) | lower(t).rlike(PREFIXED) | is_vitamin(t))
 
 
 def normalize(t: Column, fix_yo: bool = False) -> Column:
@@ -70,7 +70,7 @@ def normalize(t: Column, fix_yo: bool = False) -> Column:
     at = F.locate("°", t)
     degree = (at > 0) & F.substring(t, at + 1, F.lit(1)).isin("c", "C")
     spelt = t.rlike(VERBATIM) | is_vitamin(t)
-    return F.when(spelt, t).when(degree, F.concat(F.substring(t, F.lit(1), at), F.lit("C"))).otherwise(lower(t, fix_yo))
+    return F.when(t.rlike(_PLAIN) | spelt, t).when(degree, F.concat(F.substring(t, F.lit(1), at), F.lit("C"))).otherwise(lower(t, fix_yo))
 
 
 def tokens(text: Column, fix_yo: bool = False) -> Column:
@@ -79,11 +79,27 @@ def tokens(text: Column, fix_yo: bool = False) -> Column:
     return F.transform(F.filter(raw, lambda t: (t != "") & is_kept(t)), lambda t: normalize(t, fix_yo))
 
 
+def _terms_of(pieces: DataFrame, keep: list, fix_yo: bool) -> DataFrame:
+    cut = pieces.select(*keep, clean(F.col("raw")).alias("raw")).where((F.col("raw") != "") & is_kept(F.col("raw")))
+    return cut.select(*keep, normalize(F.col("raw"), fix_yo).alias("term"))
+
+
+def distinct_terms(df: DataFrame, text: str = "text", key: str = "doc_id", fix_yo: bool = False) -> DataFrame:
+    """(key, term), each pair once; a text's repeated pieces are dropped before any rule looks at them."""
+    raw = df.where(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(F.split(text, SEPARATORS))).alias("raw"))
+    return _terms_of(raw, [key], fix_yo).distinct()
+
+
+def term_counts(df: DataFrame, text: str = "text", fix_yo: bool = False) -> DataFrame:
+    """(term, freq) over all texts; pieces are counted as they are spelt, and the rules look at each spelling once."""
+    raw = df.where(F.col(text).isNotNull()).select(F.explode(F.split(text, SEPARATORS)).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    return _terms_of(raw, ["n"], fix_yo).groupBy("term").agg(F.sum("n").alias("freq"))
+
+
 def explode_terms(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), fix_yo: bool = False) -> DataFrame:
     """One row per token, ``term`` beside the kept columns; stays in generated code throughout."""
     raw = df.where(F.col(text).isNotNull()).select(*keep, F.explode(F.split(text, SEPARATORS)).alias("raw"))
-    cut = raw.select(*keep, clean(F.col("raw")).alias("raw")).where((F.col("raw") != "") & is_kept(F.col("raw")))
-    return cut.select(*keep, normalize(F.col("raw"), fix_yo).alias("term"))
+    return _terms_of(raw, list(keep), fix_yo)
 
 
 def explode_tokens(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), fix_yo: bool = False) -> DataFrame:

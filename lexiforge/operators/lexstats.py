@@ -2,37 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions import stemmer, tokenizer
+from lexiforge.sources.storage import numbered, spread
 
 
-def analysed_terms(docs: DataFrame, text: str = "text", stem: bool = False) -> DataFrame:
-    """Tokens (term) of texts that are not blank, letters only or digits only; stems after the filter."""
-    rows = docs.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
-    terms = tokenizer.explode_terms(rows, text, ()).where(tokenizer.is_alnum_token(F.col("term")))
-    return stemmer.with_stems(terms).select(F.col("stem").alias("term")) if stem else terms
+def term_frequency(docs: DataFrame, text: str = "text", stem: bool = False) -> DataFrame:
+    """(term, freq) of texts that are not blank: tokens of letters only or digits only; stems after the filter.
 
-
-def term_frequency(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    Tokens are counted first; rules and stemmer see the vocabulary, not its occurrences.
+    """
+    rows = spread(docs.select(text)).where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    freqs = tokenizer.term_counts(rows, text).where(tokenizer.is_alnum_token(F.col("term")))
+    return stemmer.stem_terms(freqs, "term").groupBy(F.col("stem").alias("term")).agg(F.sum("freq").alias("freq")) if stem else freqs
 
 
 def zipf_ranks(freqs: DataFrame) -> DataFrame:
-    """(rank, freq, theoretical) by falling frequency.
+    """(rank, term, freq, theoretical) by falling frequency, then term.
 
-    Ranks count whole partitions first, so the vocabulary is never sorted in
-    one task: terms of equal frequency are counted, the few distinct
-    frequencies ranked, and ranks numbered within them.
+    The vocabulary is sorted in ranges, never in one task; the ranges' sizes
+    give each range its first rank.
     """
-    steps = freqs.groupBy("freq").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1))
-    top = F.max("freq").over(Window.orderBy(F.desc("freq")))
-    placed = steps.select("freq", "n", F.coalesce(before, F.lit(0)).alias("before"), top.alias("top"))
-    rows = placed.select("freq", "top", "before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
-    rank = (F.col("before") + F.col("i")).cast("long")
-    return rows.select(rank.alias("rank"), "freq", (F.col("top") / rank).alias("theoretical"))
+    ranked = numbered(freqs.select("term", "freq"), [F.desc("freq"), F.asc("term")], "rank")
+    top = ranked.agg(F.max("freq")).first()[0]
+    return ranked.select("rank", "term", "freq", (F.lit(top).cast("long") / F.col("rank")).alias("theoretical"))
 
 
 def zipf_r_squared(ranked: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ OR or NOT.  Terms of queries are not stemmed unless asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions import stemmer, tokenizer
+from lexiforge.sources.storage import numbered
 
 OPERATORS = ("and", "or", "not")
+#: Terms of a batch that are pushed to the files as a filter; a larger batch meets the index in a join alone.
+_PUSHED = 1000
 
 
 class UnsupportedQuery(ValueError):
@@ -27,22 +30,10 @@ def parse_query(spark, query: str, stem_query: bool = False) -> list[str]:
 
 
 def lookup(posted: DataFrame, term: str) -> DataFrame:
-    """Documents with a term; the filter reaches the files."""
+    """Documents with a term; over a stored index the filter reaches the files."""
     return posted.where(F.col("term") == term).select("doc_id").distinct()
 
 
-def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, "doc_id", "left_semi").distinct()
-
-
-def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b).distinct()
-
-
-def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, "doc_id", "left_anti").distinct()
-
-
 def search(posted: DataFrame, query: str, strict: bool = False, stem_query: bool = False) -> DataFrame:
     """(doc_id) of the documents a query finds, ascending.
 
@@ -64,8 +55,8 @@ def search(posted: DataFrame, query: str, strict: bool = False, stem_query: bool
 
 def with_urls(found: DataFrame, forward_rows: DataFrame) -> DataFrame:
     """Results numbered from 1 by document, with URLs ('' where unknown)."""
-    rank = F.row_number().over(Window.orderBy("doc_id")).cast("long")  # results of one query
-    return found.join(forward_rows, "doc_id", "left").select(rank.alias("n"), "doc_id", F.coalesce("url", F.lit("")).alias("url"))
+    named = found.join(forward_rows, "doc_id", "left").select("doc_id", F.coalesce("url", F.lit("")).alias("url"))
+    return numbered(named, [F.asc("doc_id")], "n").select("n", "doc_id", "url")
 
 
 def batch_search(posted: DataFrame, queries: DataFrame) -> DataFrame:
@@ -74,6 +65,9 @@ def batch_search(posted: DataFrame, queries: DataFrame) -> DataFrame:
     op = F.when(F.size("t") == 1, F.lit("one")).when((F.size("t") == 3) & F.lower(F.get("t", F.lit(1))).isin(*OPERATORS), F.lower(F.get("t", F.lit(1))))
     shaped = parsed.select("query_id", op.alias("op"), F.get("t", F.lit(0)).alias("l"), F.get("t", F.lit(2)).alias("r")).where("op is not null")
     sides = shaped.select("query_id", "op", F.explode(F.array(F.struct(F.col("l").alias("term"), F.lit(1).alias("side")), F.struct(F.col("r").alias("term"), F.lit(2).alias("side")))).alias("x")).select("query_id", "op", "x.term", "x.side")
-    hit = posted.join(sides.where("term is not null"), "term").groupBy("query_id", "op", "doc_id").agg(F.max(F.col("side") == 1).alias("l"), F.max(F.col("side") == 2).alias("r"))
+    asked = sides.where("term is not null")
+    few = [r.term for r in asked.select("term").distinct().limit(_PUSHED + 1).collect()]
+    reached = posted.where(F.col("term").isin(few)) if len(few) <= _PUSHED else posted  # a few terms are a filter on the files
+    hit = reached.join(asked, "term").groupBy("query_id", "op", "doc_id").agg(F.max(F.col("side") == 1).alias("l"), F.max(F.col("side") == 2).alias("r"))
     kept = F.when(F.col("op") == "and", F.col("l") & F.col("r")).when(F.col("op") == "or", F.col("l") | F.col("r")).when(F.col("op") == "not", F.col("l") & ~F.col("r")).otherwise(F.col("l"))
     return hit.where(kept).select("query_id", "doc_id")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.functions import pages, stemmer, tokenizer, urls
-from lexiforge.operators import index, lexstats, search, store
-from lexiforge.sources import textfiles
+from lexiforge.functions import pages, register, stemmer, tokenizer, urls
+from lexiforge.operators import crawl, index, lexstats, search, store
+from lexiforge.plans import goldens
+from lexiforge.sources import config, storage, textfiles
+from lexiforge.streaming import incremental
 
 NOW, DAYS = 1_700_000_000, 7
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,9 +83,9 @@ def inverted_index(spark, sf_dir):
     return index.postings(_docs(spark, sf_dir))
 
 
-@query(f"WITH {_POSTED} SELECT term, list_aggregate(list_sort(list(doc_id)), 'string_agg', ',') AS doc_ids FROM posted GROUP BY term")
+@query(f"WITH {_POSTED} SELECT term, doc_id // 256 AS block, list_aggregate(list_sort(list(doc_id)), 'string_agg', ',') AS doc_ids FROM posted GROUP BY term, doc_id // 256")
 def posting_lists(spark, sf_dir):
-    return index.posting_lists(index.postings(_docs(spark, sf_dir))).select("term", F.array_join("doc_ids", ",").alias("doc_ids"))
+    return index.posting_lists(index.postings(_docs(spark, sf_dir)), block_docs=256).select("term", "block", F.array_join("doc_ids", ",").alias("doc_ids"))
 
 
 @query(f"WITH {_POSTED}, {stemmer.sql_chain('(SELECT DISTINCT term AS word FROM posted)')} SELECT DISTINCT stem AS term, doc_id FROM posted JOIN stems ON term = word WHERE stem <> ''")
@@ -126,11 +129,43 @@ def stopword_filter(spark, sf_dir):
     return index.postings(_docs(spark, sf_dir), stop_words=words)
 
 
+# -- stored index ------------------------------------------------------------
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def build_index(spark: SparkSession, sf_dir: str) -> str:
+    """Build the index of the documents and store it; searches then read it.  Gives its path."""
+    path = f"{storage.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.write_index(index.postings(_docs(spark, sf_dir)), _forward(spark, sf_dir), path)
+    _BUILT[spark.sparkContext.applicationId, sf_dir] = path
+    return path
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored index, built by the first search of a session."""
+    return index.load_index(spark, _BUILT.get((spark.sparkContext.applicationId, sf_dir)) or build_index(spark, sf_dir))
+
+
+def _posted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir)[0]
+
+
+@query(f"WITH {_POSTED} SELECT term, doc_id FROM posted")
+def stored_inverted_index(spark, sf_dir):
+    return _posted(spark, sf_dir)
+
+
+@query(f"WITH {_FORWARD} SELECT doc_id, url FROM fwd")
+def stored_forward_index(spark, sf_dir):
+    return _index(spark, sf_dir)[1]
+
+
 # -- search ------------------------------------------------------------------
 
 
 def _search(text: str, **options):
-    return lambda spark, sf_dir: search.search(index.postings(_docs(spark, sf_dir)), text, **options)
+    return lambda spark, sf_dir: search.search(_posted(spark, sf_dir), text, **options)
 
 
 def _has(term: str) -> str:
@@ -152,7 +187,8 @@ for _name, _text, _sql in (
 
 @query(f"WITH {_POSTED}, {_FORWARD}, hit AS ({_has('the')} INTERSECT {_has('of')}) SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, coalesce(url, '') AS url FROM hit LEFT JOIN fwd USING (doc_id)")
 def search_with_url(spark, sf_dir):
-    return search.with_urls(search.search(index.postings(_docs(spark, sf_dir)), "the AND of"), _forward(spark, sf_dir))
+    posted, forward = _index(spark, sf_dir)
+    return search.with_urls(search.search(posted, "the AND of"), forward)
 
 
 _BATCH = ((1, "the"), (2, "the AND of"), (3, "der OR la"), (4, "the NOT was"), (5, "a b c d"), (6, "the XOR of"), (7, "!!!"))
@@ -163,14 +199,14 @@ _BATCH = ((1, "the"), (2, "the AND of"), (3, "der OR la"), (4, "the NOT was"), (
     f"UNION ALL SELECT 3, doc_id FROM ({_has('der')} UNION {_has('la')}) UNION ALL SELECT 4, doc_id FROM ({_has('the')} EXCEPT {_has('was')})"
 )
 def batch_search(spark, sf_dir):
-    return search.batch_search(index.postings(_docs(spark, sf_dir)), spark.createDataFrame(_BATCH, "query_id int, query string"))
+    return search.batch_search(_posted(spark, sf_dir), spark.createDataFrame(_BATCH, "query_id int, query string"))
 
 
 # -- vocabulary --------------------------------------------------------------
 
 
 def _freqs(spark, sf_dir):
-    return lexstats.term_frequency(lexstats.analysed_terms(_docs(spark, sf_dir)))
+    return lexstats.term_frequency(_docs(spark, sf_dir))
 
 
 @query(f"WITH {_FREQ} SELECT term, freq FROM freqs")
@@ -180,15 +216,15 @@ def term_frequency(spark, sf_dir):
 
 @query(f"WITH {_FREQ}, {stemmer.sql_chain('(SELECT term AS word FROM freqs)')} SELECT stem AS term, CAST(sum(freq) AS BIGINT) AS freq FROM freqs JOIN stems ON term = word GROUP BY stem")
 def term_frequency_stemmed(spark, sf_dir):
-    return lexstats.term_frequency(lexstats.analysed_terms(_docs(spark, sf_dir), stem=True))
+    return lexstats.term_frequency(_docs(spark, sf_dir), stem=True)
 
 
-_RANKED = _FREQ + ", ranked AS (SELECT row_number() OVER (ORDER BY freq DESC, term) AS rank, freq, max(freq) OVER () AS top FROM freqs)"
+_RANKED = _FREQ + ", ranked AS (SELECT row_number() OVER (ORDER BY freq DESC, term) AS rank, term, freq, max(freq) OVER () AS top FROM freqs)"
 
 
-@query(f"WITH {_RANKED} SELECT rank, freq FROM ranked")
+@query(f"WITH {_RANKED} SELECT rank, term, freq FROM ranked")
 def zipf_rank(spark, sf_dir):
-    return lexstats.zipf_ranks(_freqs(spark, sf_dir)).select("rank", "freq")
+    return lexstats.zipf_ranks(_freqs(spark, sf_dir)).select("rank", "term", "freq")
 
 
 @query(f"WITH {_RANKED} SELECT rank, top / rank AS theoretical FROM ranked")
@@ -224,9 +260,9 @@ def _words(spark):
     return spark.createDataFrame([(w,) for w in RUSSIAN], "word string")
 
 
-@query(f"WITH {stemmer.sql_chain(_WORDS)} SELECT word, stem FROM stems")
+@query("SELECT word, stem FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in goldens.stems()) + ") AS known(word, stem)")
 def stem_goldens(spark, sf_dir):
-    return stemmer.stem_terms(_words(spark))
+    return stemmer.stem_terms(spark.createDataFrame([(w,) for w, _ in goldens.stems()], "word string"))
 
 
 @query(f"WITH {stemmer.sql_chain(_WORDS)} SELECT count(*) AS n, count(*) FILTER (word <> stem) AS changed, round(100.0 * count(*) FILTER (word <> stem) / count(*), 6) AS percentage_changed FROM stems")
@@ -246,7 +282,7 @@ _VOCABULARY = f"{_FREQ}, {stemmer.sql_chain('(SELECT term AS word FROM freqs)')}
 
 
 def _vocabulary(spark, sf_dir):
-    return lexstats.analysed_terms(_docs(spark, sf_dir)).select(F.col("term").alias("word"))
+    return _freqs(spark, sf_dir).select(F.col("term").alias("word"))
 
 
 @query(f"WITH {_VOCABULARY} SELECT count(*) AS n, count(*) FILTER (word <> stem) AS changed, round(CASE WHEN count(*) > 0 THEN 100.0 * count(*) FILTER (word <> stem) / count(*) ELSE 0 END, 6) AS percentage_changed FROM stems")
@@ -262,17 +298,24 @@ def stem_groups_documents(spark, sf_dir):
     return lexstats.stem_groups(_vocabulary(spark, sf_dir))
 
 
-SAMPLES = (
-    "Принимать по одной таблетке", "Вводить в/м или в/в по показаниям", "5-НОК и бета-каротин с омега-3 кислотами", "Витамины C, D3, B12, PP, K1, B1", "Хранить при 15–30 °C, не выше 25°C",
-    "pH 7.2-7.4, концентрация 0.9% NaCl, 5% глюкоза", "Ёлка A a % / – «Слово» 25°CABC мг/25°cX 10-20°C x-ray T-shirt-size 100 H2O + -", "!!! ??? ...",
-)
+@query("SELECT id, tokens FROM (VALUES " + ", ".join(f"({i}, '{want}')" for i, (_, want) in enumerate(goldens.TOKENS)) + ") AS known(id, tokens)")
+def tokenizer_goldens(spark, sf_dir):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(goldens.TOKENS)], "id int, text string")
+    return rows.select("id", F.array_join(tokenizer.tokens(F.col("text")), " ").alias("tokens"))
+
 
+@query(f"SELECT doc_id, array_to_string({_tokens_sql()}, ' ') AS tokens FROM documents")
+def sql_tokenize(spark, sf_dir):
+    register.register(spark)
+    _docs(spark, sf_dir).createOrReplaceTempView("lexiforge_documents")
+    return spark.sql("SELECT doc_id, array_join(tokenize(text), ' ') AS tokens FROM lexiforge_documents")
 
-@query(
-    "WITH given(id, text) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SAMPLES)) + f"), x AS (SELECT id, {_tokens_sql()} AS toks FROM given) SELECT id, array_to_string(toks, ' ') AS tokens FROM x"
-)
-def tokenizer_goldens(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(SAMPLES)), "id int, text string").select("id", F.array_join(tokenizer.tokens(F.col("text")), " ").alias("tokens"))
+
+@query("SELECT word, stem FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in goldens.stems()) + ") AS known(word, stem)")
+def sql_stem(spark, sf_dir):
+    register.register(spark)
+    spark.createDataFrame([(w,) for w, _ in goldens.stems()], "word string").createOrReplaceTempView("lexiforge_words")
+    return spark.sql("SELECT word, stem(word) AS stem FROM lexiforge_words")
 
 
 # -- store -------------------------------------------------------------------
@@ -353,19 +396,11 @@ def source_quota(spark, sf_dir):
     return store.within_quota(rows, rows.select("source_name", F.lit(40).cast("long").alias("max_pages")).distinct())
 
 
-@query(
-    "WITH s AS (SELECT CAST(doc_id AS BIGINT) * doc_id * doc_id * 37 AS bytes, doc_id FROM documents) SELECT doc_id, bytes FROM s WHERE bytes >= 1024"
-)
-def readable_sizes(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", (F.col("doc_id") * F.col("doc_id") * F.col("doc_id") * 37).alias("bytes"))
-    return rows.withColumn("size", store.format_size("bytes")).where(~F.col("size").endswith(" B")).select("doc_id", "bytes")
-
-
 @query(
     "WITH s AS (SELECT CAST(doc_id AS BIGINT) * doc_id * doc_id * 37 AS bytes, doc_id FROM documents) SELECT doc_id, bytes, CASE WHEN coalesce(bytes, 0) = 0 THEN '0 B' WHEN bytes < 1024 THEN printf('%.2f B', CAST(bytes AS DOUBLE)) "
     "WHEN bytes < 1048576 THEN printf('%.2f KB', bytes / 1024.0::DOUBLE) WHEN bytes < 1073741824 THEN printf('%.2f MB', bytes / 1048576.0::DOUBLE) ELSE printf('%.2f GB', bytes / 1073741824.0::DOUBLE) END AS size FROM s"
 )
-def readable_size_strings(spark, sf_dir):
+def readable_sizes(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", (F.col("doc_id") * F.col("doc_id") * F.col("doc_id") * 37).alias("bytes"))
     return rows.withColumn("size", store.format_size("bytes"))
 
@@ -421,11 +456,178 @@ def sitemap_urls(spark, sf_dir):
     return rows.select("id", F.explode(pages.extract(F.col("xml"), F.col("url"), "rlsnet", "https://e.ru").getField("extracted_urls")).alias("link"))
 
 
+@query("SELECT layout, clean_text, links FROM (VALUES " + ", ".join(f"('{x[0]}', '{x[2]}', '{x[3]}')" for x in goldens.PAGES) + ") AS known(layout, clean_text, links)")
+def page_goldens(spark, sf_dir):
+    """Both page layouts, through the registered SQL function."""
+    register.register(spark)
+    spark.createDataFrame([x[:2] for x in goldens.PAGES], "layout string, html string").createOrReplaceTempView("lexiforge_pages")
+    rows = spark.sql("SELECT layout, extract_page(html, 'https://e.ru/p', layout, 'https://e.ru') AS p FROM lexiforge_pages")
+    return rows.select("layout", F.col("p.clean_text").alias("clean_text"), F.array_join("p.extracted_urls", " ").alias("links"))
+
+
+def _extracted(spark, sf_dir, parser):
+    rows = _table(spark, sf_dir, "pages").select("page_id", pages.extract(F.col("html"), F.col("url"), parser, "https://site.example").alias("p"))
+    return rows.select("page_id", F.col("p.clean_text").alias("clean_text"), F.array_join("p.extracted_urls", " ").alias("links"))
+
+
 @query()
 def page_clean_text(spark, sf_dir):
     """Text and links of whole pages; a tree is beyond SQL."""
-    rows = _table(spark, sf_dir, "pages").select("page_id", pages.extract(F.col("html"), F.col("url"), "isgeotar", "https://site.example").alias("p"))
-    return rows.select("page_id", F.col("p.clean_text").alias("clean_text"), F.array_join("p.extracted_urls", " ").alias("links"))
+    return _extracted(spark, sf_dir, "isgeotar")
+
+
+@query()
+def page_article(spark, sf_dir):
+    """The same by the article parser."""
+    return _extracted(spark, sf_dir, "rlsnet")
+
+
+@query("SELECT page_id, clean_text IS NOT NULL AND len(string_split(trim(clean_text, ' ' || chr(9) || chr(10) || chr(12) || chr(13)), chr(10))) > 1 AS has_article FROM (SELECT page_id, html AS clean_text FROM pages)")
+def article_filter(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", pages.has_article(F.col("html")).alias("has_article"))
+
+
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+
+
+@query(
+    f"WITH l AS (SELECT doc_id, list_transform({_LINES}, lambda x: [x]) AS lines FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN len(lines) = 0 THEN 0 ELSE "
+    "len(list_reduce(lines, lambda acc, x: CASE WHEN len(list_filter(acc, lambda s: contains(s, x[1]) OR contains(x[1], s))) > 0 THEN acc ELSE list_concat(acc, x) END)) END AS n_lines FROM l"
+)
+def distinct_lines(spark, sf_dir):
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", F.size(pages.uncontained_lines(F.col("text"))).cast("long").alias("n_lines"))
+
+
+# -- crawl scans -------------------------------------------------------------
+
+
+@query("SELECT s AS source_name, CAST(i AS INTEGER) AS page, 'https://' || s || '.example/drugs?page=' || i || '&pageSize=200' AS url FROM (VALUES ('a'), ('b')) AS x(s), generate_series(1, 154) AS g(i)")
+def listing_addresses(spark, sf_dir):
+    return crawl.listing_addresses(spark.createDataFrame([("a", "https://a.example"), ("b", "https://b.example")], "source_name string, base_url string"))
+
+
+def _listings(spark, sf_dir):
+    """Pages as fetched listings: page i is listing i, its links moved under /drugs/."""
+    rows = _table(spark, sf_dir, "pages")
+    return rows.select(F.format_string("https://site.example/drugs?page=%d&pageSize=200", "page_id").alias("url"), F.regexp_replace("html", "(?i)href=([\"'])/", "href=$1/drugs/").alias("html"))
+
+
+def _scanned(spark, sf_dir):
+    addresses = crawl.listing_addresses(spark.createDataFrame([("s", "https://site.example")], "source_name string, base_url string"))
+    return crawl.scan_listing(addresses, _listings(spark, sf_dir), "https://site.example")
+
+
+_DRUG_HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']"""
+_SCANNED = (
+    f"l AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?i)href=([\"''])/', 'href=\\1/drugs/', 'g'), '{_DRUG_HREF}', 1) AS hs FROM pages WHERE page_id BETWEEN 1 AND 154), "
+    "o AS (SELECT page_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM l), w AS (SELECT * FROM o WHERE contains(h, '/drugs/') AND h NOT IN ('/drugs', '/drugs/', '/drugs?') AND length(h) - length(replace(h, '/', '')) >= 2), "
+    "k AS (SELECT page_id, i, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN h WHEN starts_with(h, '//') THEN 'https:' || h WHEN starts_with(h, '/') OR starts_with(h, '?') THEN 'https://site.example' || h ELSE 'https://site.example/' || h END AS u FROM w), "
+    "n AS (SELECT page_id, i, regexp_replace(regexp_replace(u, '(?s)#.*', ''), '/+\\z', '') AS url FROM k), f AS (SELECT page_id, url, min(i) AS i FROM n WHERE contains(url, '/drugs/') AND url <> 'https://site.example/drugs' GROUP BY page_id, url), "
+    "p AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place FROM f), scanned AS (SELECT 's' AS source_name, CAST(min(page_id) AS INTEGER) AS page, CAST(arg_min(place, page_id) AS INTEGER) AS place, url FROM p GROUP BY url)"
+)
+
+
+@query(f"WITH {_SCANNED} SELECT source_name, page, place, url FROM scanned")
+def listing_scan(spark, sf_dir):
+    return _scanned(spark, sf_dir)
+
+
+@query(f"WITH {_SCANNED}, c AS (SELECT page, place FROM scanned WHERE page = (SELECT min(page) FROM scanned) ORDER BY place LIMIT 1) SELECT s.source_name, s.page, s.place, s.url FROM scanned s, c WHERE (s.page, s.place) > (c.page, c.place)")
+def listing_resume(spark, sf_dir):
+    """The scan behind a checkpoint at its first link."""
+    items = _scanned(spark, sf_dir)
+    state = items.orderBy("page", "place").limit(1).select("source_name", F.col("url").alias("current_url"), F.col("page").alias("current_page"))
+    return crawl.after_checkpoint(items, state)
+
+
+@query(r"SELECT DISTINCT regexp_replace(regexp_replace(url, '(?s)#.*', ''), '/+\z', '') AS url FROM pages")
+def sitemap_scan(spark, sf_dir):
+    """An index of sitemaps of a hundred pages each, read in two levels."""
+    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    listed = lambda c, tag: F.concat(F.lit(f"<{tag}><loc>"), c, F.lit(f"</loc></{tag}>"))
+    inside = lambda c, tag: F.concat(F.lit(f"<{tag} {_NS}>"), F.array_join(F.collect_list(c), ""), F.lit(f"</{tag}>"))
+    child = F.format_string("https://site.example/sitemap-%d.xml", F.floor(F.col("page_id") / 100))
+    children = _table(spark, sf_dir, "pages").groupBy(child.alias("url")).agg(inside(listed(escaped, "url"), "urlset").alias("html"))
+    top = children.agg(F.lit("https://site.example/sitemap.xml").alias("url"), inside(listed(F.col("url"), "sitemap"), "sitemapindex").alias("html"))
+    return crawl.scan_sitemaps(children.unionByName(top), "https://site.example/sitemap.xml", "https://site.example")
+
+
+@query(f"WITH {_STORE} SELECT url FROM store WHERE crawled_at IS NULL OR crawled_at <= {NOW - DAYS * 86400}")
+def addresses_to_fetch(spark, sf_dir):
+    rows = _store(spark, sf_dir)
+    return crawl.to_fetch(rows, rows, NOW, DAYS)
+
+
+@query("SELECT source AS source_name, CAST(count(*) AS BIGINT) AS processed_count FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY source UNION ALL SELECT 'src2', CAST(7 AS BIGINT)")
+def crawler_state(spark, sf_dir):
+    """Checkpoints: one put in anew, one cleared, each read by its source."""
+    states = _docs(spark, sf_dir).where("source is not null").groupBy(F.col("source").alias("source_name")).agg(F.count(F.lit(1)).alias("processed_count"))
+    changed = store.clear_state(store.save_state(states, spark.createDataFrame([("src2", 7)], "source_name string, processed_count long")), "src1")
+    return changed.where("source_name <> 'src2'").unionByName(store.load_state(changed, "src2"))
+
+
+@query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+def first_seen(spark, sf_dir):
+    return store.first_seen(_docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id")
+
+
+_CONFIG = """
+logic:
+  recheck_interval_days: 7
+  user_agent: "Bot/1.0"  # a name
+sources:
+  first:
+    name: "one"
+    base_url: "https://one.example"
+    start_url: "https://one.example/drugs?page=1"
+    parser: "isgeotar"
+    max_pages: 30000
+  second:
+    base_url: 'https://two.example'
+    parser: rlsnet
+"""
+
+
+@query("SELECT * FROM (VALUES ('one', 'https://one.example', 'https://one.example/drugs?page=1', 'isgeotar', CAST(30000 AS BIGINT)), ('second', 'https://two.example', NULL, 'rlsnet', NULL)) AS s(source_name, base_url, start_url, parser, max_pages)")
+def configured_sources(spark, sf_dir):
+    return config.sources(spark, config.parse(_CONFIG))
+
+
+# -- files and streams -------------------------------------------------------
+
+
+@query(
+    f"WITH {_STORE}, kept AS (SELECT url, trim(regexp_replace(clean_text, '{textfiles.WHITE_SPACE}', ' ', 'g'), ' ') AS text FROM store WHERE clean_text <> '') SELECT row_number() OVER (ORDER BY url) - 1 AS doc_id, url, text FROM kept"
+)
+def positional_files(spark, sf_dir):
+    """Export to two files of lines, then load them by position."""
+    path = f"{storage.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    textfiles.export(_store(spark, sf_dir), path)
+    return textfiles.load(spark, f"{path}/text", f"{path}/url").select("doc_id", "url", "text")
+
+
+@query("SELECT word FROM (VALUES ('the'), ('и'), ('ёж')) AS w(word)")
+def stop_word_file(spark, sf_dir):
+    path = f"{storage.shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    spark.createDataFrame([("the",), (" И \t",), ("",), ("the\r",), ("ёж",)], "value string").write.text(path)
+    return textfiles.stop_words(spark, path)
+
+
+@query(f"WITH {_POSTED} SELECT term, doc_id FROM posted")
+def stream_index(spark, sf_dir):
+    """The index as a stream of files of documents."""
+    path = f"{storage.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    incremental.index_stream(spark, sf_dir, "doc_id long, text string", f"{path}/index", f"{path}/checkpoint", files="documents.parquet").awaitTermination()
+    return incremental.read_postings(spark, f"{path}/index")
+
+
+@query(f"SELECT 'https://corpus.example/' || doc_id AS url, sha256('<p>' || text || '</p>') AS content_hash, CAST({NOW} AS BIGINT) AS crawled_at FROM documents")
+def stream_merge(spark, sf_dir):
+    """Pages merged into the store as they arrive, batch by batch."""
+    path = f"{storage.shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    _store(spark, sf_dir).select("url", "raw_html", "clean_text", "source_name").write.parquet(f"{path}/in")
+    incremental.merge_stream(spark, f"{path}/in", f"{path}/store", f"{path}/checkpoint", NOW, DAYS).awaitTermination()
+    return incremental.read_store(spark, f"{path}/store").select("url", "content_hash", "crawled_at")
 
 
 @query("SELECT * FROM (VALUES ('/drugs/a'), ('/drugs/b')) AS found(path)")

@@ -1,27 +1,15 @@
+from urllib.parse import urljoin
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions import pages, stemmer, tokenizer, urls
-from lexiforge.operators import index, lexstats, search, store
-
-TOKENS = [
-    ("Вводить в/м или в/в по показаниям", "вводить в/м или в/в по показаниям"),
-    ("5-НОК и бета-каротин с омега-3 кислотами", "5-нок и бета-каротин с омега-3 кислотами"),
-    ("Витамины C, D3, B12, PP, K1, B1", "витамины C D3 B12 PP K1 B1"),
-    ("Температура 15–30 °C, диапазон 10-20 мг", "температура °C диапазон 10-20 мг"),
-    ("pH 7.2-7.4, концентрация 0.9% NaCl", "ph 7.2-7.4 концентрация nacl"),
-    ("Vitamin C (аскорбиновая кислота) и Omega-3", "vitamin C аскорбиновая кислота и"),
-    ("!!! ??? ... ,,, ;;", ""), ("", ""), (None, ""),
-    ("орто-фенилфенол и мета-ксиленол изо-пропил", "орто-фенилфенол и мета-ксиленол изо-пропил"),
-    ("пре- и постоперационный период, анти-В-клеточный", "и постоперационный период"),
-    ("Ёлка A a % / мг/25°cX COVID-19 site.com 100", "йлка A a % / мг/25°C"),
-]
-STEMS = (
-    "бегающий=бега бегать=бега дома=дом домами=дом красивейший=красив бегавший=бега убежав=убежа сделанный=сдела кардиомиопатия=кардиомиопат гипертензии=гипертенз COVID-19=COVID-19 "
-    "ВИЧ-инфекция=вич-инфекц СПИД-ассоциированный=спид-ассоциирова software=software ибупрофен=ибупроф ёлочка=елочк сердцёбиение=сердцебиен я=я ВИЧ=ВИЧ проведенное=проведен болезни=болезн "
-    "лежащая=леж лежащий=лежащ бегающими=бегающ говоривший=говоривш состав=соста мотив=мот"
-)
+from lexiforge.operators import crawl, index, lexstats, search, store
+from lexiforge.plans import goldens
+from lexiforge.sources import config, storage, textfiles
+
+TOKENS = [*goldens.TOKENS, (None, "")]
 CORPUS = [(0, "глюкоза 5.5 раствор"), (1, "глюкоза в/в"), (2, "антибиотик пенициллин"), (3, "антибиотик в/м"), (4, "раствор раствор")]
 SEARCHES = [
     ("глюкоза", [0, 1]), ("глюкоза AND 5.5", [0]), ("в/в OR в/м", [1, 3]), ("антибиотик NOT пенициллин", [3]), ("раствор and глюкоза", [0]), ("раствор", [0, 4]),
@@ -40,9 +28,10 @@ def test_exploded_terms_equal_arrays(spark):
 
 
 def test_stems(spark):
-    want = dict(x.split("=") for x in STEMS.split())
+    want = dict(goldens.stems())
+    assert {w: stemmer.stem_word(w) for w in want} == want
     got = stemmer.stem_terms(spark.createDataFrame([(w,) for w in want], "word string"))
-    assert {r.word: r.stem for r in got.where("stem <> ''").collect()} == want
+    assert {r.word: r.stem for r in got.collect()} == want
     con = duckdb.connect()
     con.execute("CREATE TABLE given(word VARCHAR)")
     con.executemany("INSERT INTO given VALUES (?)", [[w] for w in want])
@@ -127,6 +116,93 @@ def test_readable_sizes(spark, tmp_path):
     spark.createDataFrame([(i,) for i in (0, 1, 3, 10, 100, 512, 1000)], "doc_id long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    got = sorted(tuple(r) for r in catalog.QUERIES["readable_size_strings"](spark, str(tmp_path)).collect())
-    assert got == sorted(con.execute(catalog.SQL["readable_size_strings"]).fetchall())
+    got = sorted(tuple(r) for r in catalog.QUERIES["readable_sizes"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(catalog.SQL["readable_sizes"]).fetchall())
     assert [r[2] for r in got] == ["0 B", "37.00 B", "999.00 B", "36.13 KB", "35.29 MB", "4.62 GB", "34.46 GB"]
+
+
+def test_addresses_resolve_as_the_standard_library_does(spark):
+    bases = ["https://h", "https://h/", "https://h/a", "https://h/a/b/", "https://h/a/b/c?q=1", "http://h/../x/y"]
+    links = ["x", "x/", "/x/", "./x", "../x", "../../x", "../../../x", "/a/../b", "/./a", "a/./b/../c", "..", ".", "a/..", "?q=2", "x?y=1#z", "//other/p", "http://o/a/../b", "mailto:a@b", "/a//b"]
+    df = spark.createDataFrame([(b, x) for b in bases for x in links], "base string, link string").withColumn("got", urls.absolute(F.col("link"), F.col("base")))
+    wrong = [(r.base, r.link, r.got, urljoin(r.base, r.link)) for r in df.collect() if r.got != urljoin(r.base, r.link)]
+    assert wrong == []
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"https://e.ru/{i}", t) for i, t in CORPUS], "doc_id long, url string, text string")
+    index.write_index(index.postings(docs), index.forward(docs), f"{tmp_path}/i")
+    posted, forward = index.load_index(spark, f"{tmp_path}/i")
+    for text, want in SEARCHES:
+        found = search.with_urls(search.search(posted, text), forward).collect()
+        assert [(r.n, r.doc_id, r.url) for r in sorted(found)] == [(k + 1, d, f"https://e.ru/{d}") for k, d in enumerate(want)], text
+    plan = posted.where("term = 'раствор'")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term" in plan
+    assert sorted((r.term, r.block, r.doc_ids) for r in index.posting_lists(posted, 2).where("term = 'раствор'").collect()) == [("раствор", 0, [0]), ("раствор", 2, [4])]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        index.load_index(spark, f"{tmp_path}/none")
+
+
+def test_rows_are_numbered_across_partitions(spark):
+    df = spark.range(5000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b")).repartition(9)
+    got = storage.numbered(df, [F.desc("a"), F.asc("b")], "n").orderBy("n").collect()
+    assert [(r.a, r.b) for r in got] == sorted(((i % 7, i) for i in range(5000)), key=lambda x: (-x[0], x[1])) and [r.n for r in got] == list(range(1, 5001))
+    assert storage.numbered(df.limit(0), [F.asc("b")], "n").count() == 0
+
+
+def test_lines_keep_their_places_over_splits(spark, tmp_path):
+    (tmp_path / "text").write_text("".join(f"text {i}\n" for i in range(3000)))
+    (tmp_path / "url").write_text("".join(f"u{i}\n" for i in range(2990)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = textfiles.load(spark, f"{tmp_path}/text", f"{tmp_path}/url")
+        assert sorted((r.doc_id, r.url, r.text) for r in got.collect()) == [(i, f"u{i}", f"text {i}") for i in range(2990)]
+        assert textfiles.load(spark, f"{tmp_path}/text", f"{tmp_path}/url", 5).count() == 5 and textfiles.load(spark, f"{tmp_path}/text", f"{tmp_path}/url", 0).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_crawl_scans(spark):
+    addresses = crawl.listing_addresses(spark.createDataFrame([("s", "https://h")], "source_name string, base_url string"))
+    assert addresses.count() == 154 and addresses.orderBy("page").first().url == "https://h/drugs?page=1&pageSize=200"
+    link = lambda *names: "".join(f'<a href="/drugs/{n}/">x</a>' for n in names)
+    fetched = spark.createDataFrame([("https://h/drugs?page=1&pageSize=200", link("a", "b", "a")), ("https://h/drugs?page=3&pageSize=200", link("b", "c"))], "url string, html string")
+    items = crawl.scan_listing(addresses, fetched, "https://h")
+    assert sorted(map(tuple, items.collect())) == [("s", 1, 0, "https://h/drugs/a"), ("s", 1, 1, "https://h/drugs/b"), ("s", 3, 1, "https://h/drugs/c")]
+    left = lambda *state: sorted(r.url[-1] for r in crawl.after_checkpoint(items, spark.createDataFrame(list(state), "source_name string, current_url string, current_page int")).collect())
+    assert left(("s", "https://h/drugs/a", 1)) == ["b", "c"] and left(("s", "gone", 3)) == ["c"] and left(("other", "x", 9)) == ["a", "b", "c"]
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    maps = [("https://h/s.xml", f"<sitemapindex {ns}><sitemap><loc>https://h/1.xml</loc></sitemap><sitemap><loc>/gone.xml</loc></sitemap></sitemapindex>"), ("https://h/1.xml", f"<urlset {ns}><url><loc>https://h/p/</loc></url></urlset>"), ("https://h/2.xml", "<urlset")]
+    assert [r.url for r in crawl.scan_sitemaps(spark.createDataFrame(maps, "url string, html string"), "https://h/s.xml", "https://h").collect()] == ["https://h/p"]
+    rows = spark.createDataFrame([("a", 10), ("b", None), ("c", 86400 * 9)], "url string, crawled_at long")
+    assert sorted(r.url for r in crawl.to_fetch(rows, rows, 86400 * 10, 7).collect()) == ["a", "b"]
+
+
+def test_lines_contained_in_others():
+    assert pages.distinct_lines("abc\n b \n\nxyz\nxyzz\nq") == "abc\nxyz\nq"
+
+
+def test_configuration():
+    got = config.parse('db:\n  host: mongodb\n  port: 27017\nlogic:\n  delay: 0.5\n  agent: "A b/1.0"\n# note\n\nsources:\n  one:\n    on: true\n    url: "https://h/x?a=1"\n')
+    assert got == {"db": {"host": "mongodb", "port": 27017}, "logic": {"delay": 0.5, "agent": "A b/1.0"}, "sources": {"one": {"on": True, "url": "https://h/x?a=1"}}}
+    with pytest.raises(ValueError, match="not a map"):
+        config.parse("- a\n")
+
+
+def test_functions_of_sql(spark):
+    from lexiforge.functions import register
+
+    register.register(spark)
+    r = spark.sql("SELECT normalize_url('HTTP://Example.COM:80//a//b/?q=1#x') AS u, normalize_url('https://h:443') AS v, tokenize('Хранить при 25°C') AS t, stem('дома') AS s, stem(CAST(NULL AS STRING)) AS n").first()
+    assert (r.u, r.v, r.t, r.s, r.n) == ("http://example.com/a/b?q=1", "https://h/", ["хранить", "при", "25°C"], "дом", None)
+
+
+def test_store_stream_replays_and_tells_changes(spark, tmp_path):
+    from lexiforge.streaming import incremental
+
+    schema = "url string, raw_html string, clean_text string, source_name string"
+    for n, rows in enumerate(([("a", "1", "1", "s"), ("b", "1", "1", "s")], [("a", "2", "2", "s"), ("c", "1", "1", "s"), ("c", "1", "1", "s")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        incremental.merge_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", 1000 + n, 7).awaitTermination()
+    got = {r.url: (r.raw_html, r.crawled_at, r.created_at) for r in incremental.read_store(spark, f"{tmp_path}/out").collect()}
+    assert got == {"a": ("2", 1001, 1000), "b": ("1", 1000, 1000), "c": ("1", 1001, 1001)}
