@@ -97,56 +97,50 @@ def runs_of(texts: list[bytes], length: int, gram: int):
 def suffix_ranks(buf: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
     """(depth, rank of every suffix by its first ``depth`` bytes) for depths 8, 16, ... up to ``length``.
 
-    Equal ranks mean equal bytes.  A suffix already unlike all others keeps its
+    Equal ranks mean equal bytes; behind the end stand zeros.  A suffix already unlike all others keeps its
     rank, so only the rest is sorted again.
     """
     n = len(buf)
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    words = np.zeros(n, np.uint64)
+    key = np.zeros(n, np.uint64)
     for i in range(8):
-        words = (words << np.uint64(8)) | padded[i : n + i]
-    rank, live, depth, out = np.zeros(n, np.int64), np.arange(n), 8, []
-    key = words
+        key = (key << np.uint64(8)) | padded[i : n + i]
+    rank, live, open_, depth, out = np.zeros(n, np.int32), np.arange(n, dtype=np.int32), np.ones(n, bool), 8, []
     while True:
         order = np.argsort(key)
         sorted_key, live = key[order], live[order]
+        place = np.arange(len(live), dtype=np.int32)
         fresh = np.ones(len(live), bool)
-        fresh[1:] = sorted_key[1:] != sorted_key[:-1]
-        head = np.maximum.accumulate(np.where(fresh, np.arange(len(live)), 0))  # where each class begins
+        np.not_equal(sorted_key[1:], sorted_key[:-1], out=fresh[1:])
         old = rank[live]
         base = np.ones(len(live), bool)
-        base[1:] = old[1:] != old[:-1]
-        rank[live] = old + head - np.maximum.accumulate(np.where(base, np.arange(len(live)), 0))
-        out.append((depth, rank.astype(np.int32)))
+        np.not_equal(old[1:], old[:-1], out=base[1:])
+        # a class begins as far behind its old class's beginning as there are members before it
+        rank[live] = old + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(base, place, 0))
+        out.append((depth, rank.copy()))
         if 2 * depth > length:
             return out
-        alone = fresh & np.append(fresh[1:], True)
-        live = np.sort(live[~alone])
-        behind = live + depth
-        key = rank[live] * np.int64(n + 1) + np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        open_[live[fresh & np.append(fresh[1:], True)]] = False
+        live = np.flatnonzero(open_).astype(np.int32)
+        key = rank[live] * np.int64(n + 1) + rank[np.minimum(live + np.int32(depth), n - 1)]
         depth *= 2
 
 
 def common_prefix(buf: np.ndarray, ranks: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray, length: int) -> np.ndarray:
-    """Bytes that the suffixes at i and j have in common, up to ``length``."""
-    n, i, j = len(buf), i.copy(), j.copy()
-    begin = i.copy()
+    """Bytes that the suffixes at i and j have in common, up to ``length``; no suffix comes nearer to the end than twice that."""
+    same = np.zeros(len(i), np.int32)
     for depth, rank in reversed(ranks):
-        step = np.where((i < n) & (j < n), rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)], False) * depth
-        i += step
-        j += step
+        same += (rank[i + same] == rank[j + same]) * np.int32(depth)
+    live = np.flatnonzero(same < length)
     for _ in range(7):  # what is left is shorter than 8 bytes
-        step = np.where((i < n) & (j < n), buf[np.minimum(i, n - 1)] == buf[np.minimum(j, n - 1)], False)
-        i += step
-        j += step
-        if not step.any():
-            break
-    return np.minimum(i - begin, length)
+        live = live[buf[i[live] + same[live]] == buf[j[live] + same[live]]]
+        same[live] += 1
+    return np.minimum(same, length)
 
 
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
     """For each place the nearest one before it with a smaller value, or -1 (all values differ)."""
-    near = np.arange(-1, len(values) - 1)
+    near = np.arange(-1, len(values) - 1, dtype=np.int32)
     live = np.flatnonzero((near >= 0) & (values[near] > values))
     while len(live):  # all values between near[i] and i are larger than values[i]
         near[live] = near[near[live]]
@@ -160,11 +154,12 @@ def longest_previous_factors(buf: np.ndarray, starts: np.ndarray, length: int) -
 
     starts: suffixes in the order of their places; each has ``length`` bytes.
     """
+    buf, starts = np.concatenate([buf, np.zeros(2 * length, np.uint8)]), starts.astype(np.int32)
     ranks = suffix_ranks(buf, length)
     depth, rank = ranks[-1]
-    key = rank[starts].astype(np.int64) * (len(buf) + 1) + rank[starts + length - depth]
-    order = np.argsort(key, kind="stable")  # suffix order; equal suffixes by place
-    best, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+    key = rank[starts] * np.int64(len(buf) + 1) + rank[starts + np.int32(length - depth)]
+    order = np.argsort(key, kind="stable").astype(np.int32)  # suffix order; equal suffixes by place
+    best, source = np.zeros(len(starts), np.int32), np.full(len(starts), -1, np.int32)
     for listed in (order, order[::-1]):  # previous, then next smaller position
         near = nearest_smaller(listed)
         has = np.flatnonzero(near >= 0)
@@ -409,7 +404,7 @@ def repeated_words(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     """
     scratch = Scratch(df.sparkSession)
     digests = scratch.put(word_digests(df, doc_id, text), "digests")
-    found = scratch.put(judge_texts(digests, "doc_id", "digest", 2 * words, "none", gram=words // 2, task_bytes=600_000).select(F.col("tid").alias("digest_id"), F.ceil(F.col("n_removed") / 2).alias("n_passage_words")), "passages")
+    found = scratch.put(judge_texts(digests, "doc_id", "digest", 2 * words, "none", gram=12, task_bytes=600_000).select(F.col("tid").alias("digest_id"), F.ceil(F.col("n_removed") / 2).alias("n_passage_words")), "passages")
     rows = scratch.put(digests.select("doc_id", "tid", text_id("digest").alias("digest_id")), "rows")
     scratch.drop("digests")
     return rows.join(found, "digest_id").select("doc_id", "tid", "n_passage_words")
