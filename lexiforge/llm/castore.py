@@ -88,7 +88,7 @@ def _stored(df: DataFrame, doc_id: str, text: str, end_id: int, vocab: str, widt
         task, n_docs = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
-            for s, e in blocks([len(t) for t in texts], 4_000_000):
+            for s, e in blocks([len(t) for t in texts], 1_000_000):
                 ids, edges = memo.encode(texts[s:e])
                 told, chunk_rows, recipes = set(), ([], []), ([], [], [], [], [])
                 for i in range(e - s):

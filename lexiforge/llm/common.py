@@ -116,7 +116,7 @@ def worker_env() -> None:
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 
-def map_texts(df: DataFrame, make, fields: str, text: str = "text", keep: list[str] | None = None, also: tuple[str, ...] = (), block_bytes: int = 4_000_000) -> DataFrame:
+def map_texts(df: DataFrame, make, fields: str, text: str = "text", keep: list[str] | None = None, also: tuple[str, ...] = (), block_bytes: int = 1_000_000) -> DataFrame:
     """Add ``fields`` (DDL), computed from whole texts in Arrow blocks.
 
     ``make()`` runs once per task and returns a function from a list of texts

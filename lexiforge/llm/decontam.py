@@ -178,7 +178,7 @@ def _windowed(df: DataFrame, key: str, text: str, sizes: list[int], full: int, o
         (memo,) = wordcodes.held((CanonicalWords,))
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
-            for s, e in blocks([len(t) for t in texts], 2_000_000):
+            for s, e in blocks([len(t) for t in texts], 1_000_000):
                 got = window_rows(memo, texts[s:e], sizes, full, own_size, wanted)
                 yield pa.RecordBatch.from_arrays(
                     [

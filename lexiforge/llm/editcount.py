@@ -150,7 +150,7 @@ def apply_edits(trees: DataFrame, text: str = "text", edits: str = "edits", keep
         (memo,) = wordcodes.held((wordcodes.BpeWords, path))
         for batch in batches:
             texts, ends, tree, changes = (batch.column(len(kept) + i).to_pylist() for i in range(4))
-            for s, e in blocks([len(t) for t in texts], 4_000_000):
+            for s, e in blocks([len(t) for t in texts], 1_000_000):
                 docs = [Edited(texts[i], np.array(ends[i]), np.array(tree[i]), changes[i] or []) for i in range(s, e)]
                 spans = [x[2].encode() for d in docs for x in d.spans]
                 counts = np.diff(memo.encode(spans)[1]).tolist() if spans else []

@@ -113,7 +113,7 @@ def pack(
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
-            for s, e in blocks([len(t) for t in texts], 4_000_000):
+            for s, e in blocks([len(t) for t in texts], 1_000_000):
                 ids, edges = memo.encode(texts[s:e])
                 for i in range(s, e):
                     part = ids[edges[i - s] : edges[i - s + 1]]

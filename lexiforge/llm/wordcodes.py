@@ -169,7 +169,7 @@ class WordMemo:
 class BpeWords(WordMemo):
     """``word_bpe_49k.json`` by the tokenizers library, ``add_special_tokens=False``."""
 
-    def __init__(self, path: str, capacity: int = CAPACITY):
+    def __init__(self, path: str, capacity: int = 3 * CAPACITY // 2):  # no operator holds another beside it
         worker_env()
         from tokenizers import Tokenizer
 
