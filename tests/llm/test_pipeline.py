@@ -18,7 +18,8 @@ def _planted():
     near[70] = "changed"
     passage, item = say(110), say(30)
     texts = [*clean, clean[0], " ".join(near), say(20) + " " + passage + " " + say(60), say(25) + " " + passage + " " + say(60), say(60) + " " + item + " " + say(60), "too short", None, say(6) * 12]
-    return [(i, t, "xx", "s", len(t or "")) for i, t in enumerate(texts)], passage, item
+    rows = [(i, t, "xx", "s", len(t or "")) for i, t in enumerate(texts)]
+    return [*rows, rows[3]], passage, item  # one row twice
 
 
 def test_stages(spark, tmp_path):
@@ -30,6 +31,7 @@ def test_stages(spark, tmp_path):
         function(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out{k}")
         docs = spark.read.parquet(f"{tmp_path}/out{k}")
         seen[name] = {r.doc_id: r for r in docs.collect()}
+        assert k == 0 or k == 4 or docs.count() == len(seen[name])  # repeated rows are one document
         if k < 4:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
     assert set(seen["quality rules"]) == set(range(11))
