@@ -438,3 +438,27 @@ def test_cross_parsing_of_very_long_words_and_texts(spark):
 
 def test_crc_of_ids_is_little_endian(ids):
     assert zlib.crc32(ids[4].tobytes()) == zlib.crc32((1).to_bytes(4, "little")) and math.isfinite(len(ids))
+
+
+def test_query_of_near_duplicates_against_brute_force(spark):
+    import os
+
+    from lexiforge.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(zip(w, w[1:], strict=False)) or frozenset([tuple(w)] if w else [])
+    root = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in texts:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    got = queries.QUERIES["op6_setsketch"](spark, folder).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), root[i], root[i] == i) for i in texts}
+    assert sum(root[i] != i for i in texts) > 5
