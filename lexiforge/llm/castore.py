@@ -18,8 +18,9 @@ bytes before compression.  Chunks lie in buckets by address, so reading back
 moves recipes to the chunks and chunk bytes only once, to their documents.
 
 Defined results: a null text is empty and holds only the end id; repeated rows
-share one content and keep a recipe each (ties by content hash); an empty
-table gives an empty store; other columns are not stored.
+share one content and keep a recipe each (ties by content hash); a null id comes
+first; very long texts have more chunks, a very long word likewise; an empty
+table gives an empty store; other columns, whatever their names, are not stored.
 """
 
 from __future__ import annotations

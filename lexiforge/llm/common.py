@@ -106,6 +106,16 @@ def blocks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+def columns_of(df: DataFrame) -> list:
+    """All columns by name, whatever characters the names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def own_prefix(df: DataFrame) -> str:
+    """A prefix for working columns that no column of ``df`` begins with."""
+    return "_" * (2 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0))
+
+
 def ensure_columns(df: DataFrame, **types: str) -> DataFrame:
     """``df`` with every named column present, absent ones as typed nulls."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in df.columns})
@@ -131,9 +141,9 @@ def map_texts(df: DataFrame, make, fields: str, text: str = "text", keep: list[s
     added = StructType.fromDDL(fields)
     kept = [c for c in (df.columns if keep is None else keep) if c not in added.names]
     source = df.select(
-        *[F.col(f"`{c}`") for c in kept],
-        *[F.col(f"`{c}`").alias(f"__also_{i}") for i, c in enumerate(also)],
-        F.col(f"`{text}`").cast("string").cast("binary").alias("__text"),
+        *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(kept)],  # no name of the caller's can clash
+        *[F.col(f"`{c}`").alias(f"also_{i}") for i, c in enumerate(also)],
+        F.col(f"`{text}`").cast("string").cast("binary").alias("read"),
     )
     schema = StructType([*source.schema.fields[: len(kept)], *[StructField(f.name, f.dataType) for f in added]])
     types = {f.name: t.type for f, t in zip(added, to_arrow_schema(added), strict=True)}
@@ -147,7 +157,7 @@ def map_texts(df: DataFrame, make, fields: str, text: str = "text", keep: list[s
                 new = f(texts[s:e], *[m[s:e] for m in more])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(s, e - s) for i in range(len(kept))), *(pa.array(new[n], types[n], from_pandas=False) for n in types)],
-                    names=[*kept, *types],
+                    names=schema.names,
                 )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *added.names)

@@ -15,7 +15,8 @@ gives its share.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; so
 is every text when nothing is labelled; ties go to the language first in the
-alphabet; repeated rows are judged alike; very long texts, and texts of one very
+alphabet; repeated rows are judged alike; rows of null text or null language teach
+nothing; an empty table gives an empty result; very long texts, and texts of one very
 long word, are read whole; extra columns are carried along, one named like a
 result column gives way to it.
 """

@@ -20,7 +20,7 @@ alignment.
 Defined results: null and empty texts match nothing; items of fewer than
 ``least`` tokens are not searched; items of slots only are searched literally;
 repeated documents (equal id) are one
-document; very long texts are searched whole; of several ways in which a
+document, and so are all of null id; very long texts are searched whole; of several ways in which a
 document leaks an item the best covered is told, ties going to more windows and
 then to the literal one; an empty table on either side gives an empty result;
 the columns used are ids and texts, others, whatever their names, are ignored.

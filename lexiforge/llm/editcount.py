@@ -5,13 +5,19 @@ Every document keeps a segment tree over its pre-tokens: leaves are runs of
 node holds the sum of its two children, so the root is the token count.  An
 edit replaces a stretch of characters.  Only the leaves it touches are encoded
 again, together with the leaf behind them where the edit reaches a boundary;
-then the sums on the way to the root change.  Counts equal those of encoding
-the edited text anew.
+then the sums on the way to the root change.  Touched leaves become one leaf, or
+several once their words would fill more than two, so leaves keep their size
+over any number of edits; where the number of leaves changes, the sums are added
+up anew from the leaves' counts.  Counts equal those of encoding the edited text
+anew.
 
 Defined results: null texts are empty, with one leaf of no tokens; null edits
 mean none; edits are applied in order of position, ones that overlap an
-earlier one or lie beyond the end are cut to what is left; repeated rows are
-separate documents; extra columns are carried along.
+earlier one or lie beyond the end are cut to what is left, ties of a position go
+to the shorter cut, then the lesser text; repeated rows are separate documents; a
+null id is carried like any other; very long texts have more leaves, a very long
+word is one leaf; an empty table gives an empty result; extra columns are carried
+along, one named like a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -91,7 +97,7 @@ class Edited:
     def __init__(self, text: str, ends: np.ndarray, tree: np.ndarray, edits: list):
         self.n_edits, self.ends, self.tree = 0, ends.copy(), tree.copy()
         out, done, regions = [], 0, []  # regions: first leaf, last leaf, new text in pieces
-        n, shift = len(text), 0
+        n = len(text)
         for at, cut, put in sorted((max(0, e["at"] or 0), max(0, e["cut"] or 0), e["put"] or "") for e in edits):
             at = min(max(at, done), n)
             cut = min(cut, n - at)
@@ -117,21 +123,34 @@ class Edited:
             for at, cut, put in own:
                 parts += [text[p:at], put]
                 p = at + cut
-            grown = sum(len(put) - cut for _, cut, put in own)
-            shift += grown
             self.spans.append((low, high, "".join([*parts, text[p:stop]])))
-            self.ends[low:] += grown
-            self.ends[low:high] = self.ends[high]  # the region's first leaf holds all of it
         self.n_leaves_encoded = sum(high - low + 1 for low, high, _ in regions)
 
-    def settle(self, counts: list[int]) -> None:
-        for (low, high, _), count in zip(self.spans, counts, strict=True):
-            set_leaf(self.tree, low, count)
-            for leaf in range(low + 1, high + 1):
-                set_leaf(self.tree, leaf, 0)
-
-
-def apply_edits(trees: DataFrame, text: str = "text", edits: str = "edits", keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
+    def settle(self, leaves: list) -> None:
+        """Put in the leaves (ends, tokens) of every region's new text; all other leaves keep their counts.
+
+        A region becomes one leaf, or leaves of the usual size once it has more than two of them.
+        """
+        old, half = self.ends, len(self.tree) // 2
+        ends, counts, at, shift, same = [], [], 0, 0, True
+        for (low, high, span), (stops, tokens) in zip(self.spans, leaves, strict=True):
+            if len(stops) <= 2:
+                stops, tokens = stops[-1:], np.array([tokens.sum()])
+            begin = int(old[low - 1]) if low else 0
+            ends += [old[at:low] + shift, begin + shift + stops]
+            counts += [self.tree[half + at : half + low], tokens]
+            shift += len(span) - (int(old[high]) - begin)
+            at = high + 1
+            same &= low == high and len(stops) == 1
+        self.ends = np.concatenate([*ends, old[at:] + shift]).astype(np.int32)
+        if same:
+            for (low, _, _), tokens in zip(self.spans, counts[1::2], strict=True):
+                set_leaf(self.tree, low, int(tokens[0]))
+        else:
+            self.tree = build_tree(np.concatenate([*counts, self.tree[half + at : half + len(old)]]))
+
+
+def apply_edits(trees: DataFrame, text: str = "text", edits: str = "edits", keep: list[str] | None = None, leaf_words: int = 32, vocabulary: str | None = None) -> DataFrame:
     """Apply ``edits`` (array of struct<at int, cut int, put string>, in characters) to every document.
 
     The result has the edited text with its tree, so further edits can follow.
@@ -143,7 +162,7 @@ def apply_edits(trees: DataFrame, text: str = "text", edits: str = "edits", keep
     added = StructType.fromDDL(EDITED_FIELDS)
     types = [f.type for f in to_arrow_schema(added)]
     kept = [c for c in (trees.columns if keep is None else keep) if c not in added.names]
-    source = trees.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(text, F.lit("")).alias("__text"), F.col("leaf_ends").alias("__ends"), F.col("tree").alias("__tree"), F.col(edits).alias("__edits"))
+    source = trees.select(*[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(kept)], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("read"), "leaf_ends", "tree", F.col(f"`{edits}`").alias("edits"))
     schema = StructType([*source.schema.fields[: len(kept)], *added.fields])
 
     def run(batches):
@@ -153,15 +172,13 @@ def apply_edits(trees: DataFrame, text: str = "text", edits: str = "edits", keep
             for s, e in blocks([len(t) for t in texts], 1_000_000):
                 docs = [Edited(texts[i], np.array(ends[i]), np.array(tree[i]), changes[i] or []) for i in range(s, e)]
                 spans = [x[2].encode() for d in docs for x in d.spans]
-                counts = np.diff(memo.encode(spans)[1]).tolist() if spans else []
-                at = 0
+                leaves = iter(leaves_of(memo, spans, leaf_words) if spans else [])
                 for d in docs:
-                    d.settle(counts[at : at + len(d.spans)])
-                    at += len(d.spans)
+                    d.settle([next(leaves) for _ in d.spans])
                 columns = [
                     [d.text for d in docs], [int(d.tree[1]) for d in docs], [d.ends for d in docs], [d.tree for d in docs], [d.n_edits for d in docs],
                     [len(d.ends) for d in docs], [d.n_leaves_encoded for d in docs], [sum(len(x[2]) for x in d.spans) for d in docs],
                 ]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(s, e - s) for i in range(len(kept))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*kept, *added.names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(s, e - s) for i in range(len(kept))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *added.names)

@@ -31,7 +31,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import stage
+from lexiforge.llm.common import columns_of, own_prefix, stage
 
 _LOW = -(2**63)
 #: Counts that a round brings to the driver, about.
@@ -124,16 +124,18 @@ def histogram_sort(df: DataFrame, key: str, text: str = "text", shards: int = 24
     default a shard has as many ranges as ``range_bytes`` asks for, 8 at least.
     """
     source = df.drop(*[c for c in ("size", "shard", "slot") if c in df.columns])
+    p = own_prefix(source)
+    k, t, cell = f"{p}k", f"{p}t", f"{p}cell"
     ready = source.select(
         "*",
-        (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + overhead).alias("size"),
-        F.coalesce(F.col(key).cast("long"), F.lit(_LOW)).alias("__k"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in source.columns]).alias("__t"),
+        (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + overhead).alias("size"),
+        F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LOW)).alias(k),
+        F.xxhash64(*columns_of(source)).alias(t),
     )
-    keyed = stage(ready.select(F.col("__k").alias("k"), F.col("__t").alias("t"), "size"), "histsort")
+    keyed = stage(ready.select(F.col(k).alias("k"), F.col(t).alias("t"), "size"), "histsort")
     total = keyed.agg(F.sum("size")).first()[0]
     if total is None:
-        return ready.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).drop("__k", "__t")
+        return ready.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).drop(k, t)
     cells = cells or max(8, -(-total // (shards * range_bytes)))
     n = shards * cells
     goals = [(-(-total * i // n), (tolerance if i % cells == 0 else 0.2) * total / n) for i in range(1, n)]
@@ -144,11 +146,11 @@ def histogram_sort(df: DataFrame, key: str, text: str = "text", shards: int = 24
         at = 0 if c % cells == 0 else at
         first.append(at)
         at += counts.get(c, 0)
-    placed = _with_rank(ready, "__cell", "__k", "__t", splitters)
-    rank = F.row_number().over(Window.partitionBy("__cell").orderBy("__k", "__t"))
+    placed = _with_rank(ready, cell, k, t, splitters)
+    rank = F.row_number().over(Window.partitionBy(cell).orderBy(k, t))
     return placed.select(
-        *[F.col(f"`{c}`") for c in source.columns],
+        *columns_of(source),
         "size",
-        F.floor(F.col("__cell") / cells).cast("int").alias("shard"),
-        (F.get(_long_array(first), F.col("__cell")) + rank - 1).alias("slot"),
+        F.floor(F.col(cell) / cells).cast("int").alias("shard"),
+        (F.get(_long_array(first), F.col(cell)) + rank - 1).alias("slot"),
     )

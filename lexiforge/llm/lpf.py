@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm import wordcodes
-from lexiforge.llm.common import Scratch, blocks, shuffles_dropped
+from lexiforge.llm.common import Scratch, blocks, columns_of, own_prefix, shuffles_dropped
 
 _LOWEST = -(2**63)
 _PLACE_BITS = 24
@@ -416,13 +416,14 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     With ``keep="first"`` a later copy of a whole text loses all of it (none if
     shorter than ``length``).
     """
-    judged = judge_texts(df, doc_id, text, length, keep, readable=True).select(F.col("tid").alias("__tid"), F.col("ord").alias("__ord"), F.col("kept").alias("__kept"))
+    p = own_prefix(df)
+    judged = judge_texts(df, doc_id, text, length, keep, readable=True).select(F.col("tid").alias(f"{p}tid"), F.col("ord").alias(f"{p}ord"), F.col("kept").alias(f"{p}kept"))
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LOWEST))
-    joined = df.withColumn("__tid", text_id(text)).join(judged, "__tid")
+    joined = df.withColumn(f"{p}tid", text_id(text)).join(judged, f"{p}tid")
     if keep == "first":
         later = F.when(F.octet_length(body) >= length, F.lit("")).otherwise(body)
-        new = F.when(own == F.col("__ord"), F.col("__kept")).otherwise(later)
+        new = F.when(own == F.col(f"{p}ord"), F.col(f"{p}kept")).otherwise(later)
     else:
-        new = F.col("__kept")
-    return joined.withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), new)).select(*[F.col(f"`{c}`") for c in df.columns])
+        new = F.col(f"{p}kept")
+    return joined.withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), new)).select(*columns_of(df))

@@ -13,8 +13,10 @@ than ``seq_len`` tokens goes to the sequences of the binary digits of its size
 (1,024 + 256 + ...), which need no padding.
 
 Defined results: a null text is empty and holds only the end id; repeated rows
-are packed one by one; an empty table gives an empty result; columns besides
-the id and the text are not carried.
+are packed one by one; a null id stays null; ties of length keep the order of the
+rows; a very long text gives full sequences and a rest, even where it is longer
+than a block; an empty table gives an empty result; columns besides the id and the
+text, whatever their names, are not carried.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ leave it.  Bands are given per language and, where a language has none, per
 script.
 
 Defined results: a null text counts as empty; an empty text has no words and
-fails the base rules; ties and repeated rows are judged alike; extra columns
+fails the base rules; ties and repeated rows are judged alike; a null id is
+carried, a null language means the bands of the script; very long texts, and very
+long words, are measured whole; an empty table gives an empty result; extra columns
 are carried along, one named like a result column gives way to it.
 """
 

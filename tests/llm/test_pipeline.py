@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lexiforge.llm.common import vocabulary_path
 
+#: Columns of which some are named like those of the stages.
+EXTRA = ["extra", "kept", "reason", "component_id", "th", "tid", "ord", "item_id", "start", "length", "a.b", "__row", "__h", "__id", "__tid"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -24,7 +26,7 @@ def _planted():
 
 def test_stages(spark, tmp_path):
     rows, passage, item = _planted()
-    spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in EXTRA}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for k, (name, function) in enumerate(corpus_pipeline.STAGES):
@@ -33,7 +35,7 @@ def test_stages(spark, tmp_path):
         seen[name] = {r.doc_id: r for r in docs.collect()}
         assert k == 0 or k == 4 or docs.count() == len(seen[name])  # repeated rows are one document
         if k < 4:
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *EXTRA]
     assert set(seen["quality rules"]) == set(range(11))
     assert set(seen["near-duplicates"]) == {0, 1, 2, 3, 4, 5, 8, 9, 10}
     texts = {i: r.text for i, r in seen["repeated passages"].items()}
