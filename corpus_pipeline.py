@@ -16,22 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm import decontam, lpf, packing, quality, setsketch
-from lexiforge.llm.common import read_table, stage
+from lexiforge.llm.common import columns_of, own_prefix, read_table, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fertility bands keep."""
-    judged = quality.fertility(docs.select(*docs.columns, F.struct(*docs.columns).alias("__row")), keep=["__row"])
-    return judged.where("kept").select("__row.*")
+    row = f"{own_prefix(docs)}row"
+    judged = quality.fertility(docs.withColumn(row, F.struct(*columns_of(docs))), keep=[row])
+    return judged.where("kept").select(f"{row}.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least id, of each group of near copies (five-word shingles, overlap 0.8)."""
     found = setsketch.near_duplicates(docs, k=5, percent=80)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(stays, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__h"]).select(docs.columns)  # rows of one id and text are one document
+    p = own_prefix(docs)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{p}id"), F.col("th").alias(f"{p}th")).distinct()
+    keyed = docs.withColumn(f"{p}h", F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(stays, (F.col(f"{p}h") == F.col(f"{p}th")) & F.col("doc_id").eqNullSafe(F.col(f"{p}id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", f"{p}h"]).select(columns_of(docs))  # rows of one id and text are one document
 
 
 #: Bytes of a repeated passage: what fifty words of short prose take.
@@ -42,13 +44,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts less every later copy of a passage of ``PASSAGE`` bytes; what is left empty goes."""
     cut = lpf.remove_repeats(docs, length=PASSAGE, keep="first")
     left = cut.where(F.col("text").isNull() | (F.length("text") > 0))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else left
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(columns_of(docs)) if "n_chars" in docs.columns else left
 
 
 def leaked_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaks = decontam.leaks(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stage(leaks, "leaks"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    name = f"{own_prefix(docs)}id"
+    leaks = decontam.leaks(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stage(leaks, "leaks"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
