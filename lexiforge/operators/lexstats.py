@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import stemmer, tokenizer
@@ -58,10 +58,15 @@ def stem_change(words: DataFrame) -> DataFrame:
 
 
 def stem_groups(words: DataFrame, top: int = 5, shown: int = 5) -> DataFrame:
-    """The ``top`` stems with most words; if no stem has two, the first groups of one."""
-    stems = stemmer.stem_terms(words.select("word").distinct()).groupBy("stem").agg(F.sort_array(F.collect_set("word")).alias("originals"))
-    sized = stems.select("stem", F.size("originals").alias("size"), F.array_join(F.slice("originals", 1, shown), " ").alias("originals"))
-    return sized.orderBy((F.col("size") < 2), F.desc("size"), "stem").limit(top)
+    """The ``top`` stems with most words; if no stem has two, the first groups of one.
+
+    Words are ranked within their stem by a sort, so a group is never held whole;
+    a group keeps the ``shown`` words it shows.
+    """
+    ranked = stemmer.stem_terms(words.select("word").distinct()).withColumn("at", F.row_number().over(Window.partitionBy("stem").orderBy("word")))
+    first = F.array_sort(F.collect_list(F.when(F.col("at") <= shown, F.col("word"))))
+    sized = ranked.groupBy("stem").agg(F.max("at").alias("size"), F.array_join(first, " ").alias("originals"))
+    return sized.select("stem", "size", "originals").orderBy((F.col("size") < 2), F.desc("size"), "stem").limit(top)
 
 
 def top_terms(freqs: DataFrame, n: int = 5) -> DataFrame:
