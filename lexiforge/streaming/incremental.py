@@ -14,6 +14,8 @@ STORE = "url string, source_name string, raw_html string, clean_text string, con
 def index_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, stem: bool = False, files: str = "*.parquet") -> StreamingQuery:
     """Append (term, doc_id) of every new file of the folder ``source`` (names like ``files``) to ``out``.
 
+    ``source`` may be a pattern; it then takes the files it matches and those in the folders it matches.
+
     A batch replayed after a failure overwrites its own folder, so postings are
     written exactly once; the checkpoint keeps which files are done.
     """

@@ -197,6 +197,22 @@ def test_functions_of_sql(spark):
     assert (r.u, r.v, r.t, r.s, r.n) == ("http://example.com/a/b?q=1", "https://h/", ["хранить", "при", "25°C"], "дом", None)
 
 
+def test_index_stream_takes_a_file_or_a_folder(spark, tmp_path):
+    from lexiforge.plans import catalog
+
+    whole = spark.createDataFrame([*CORPUS, (5, None), (6, "")], "doc_id long, text string")
+    whole.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    whole.select("doc_id").write.parquet(f"{tmp_path}/folder/documents.parquets")  # another table, not to be read
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/folder/documents.parquet/*.parquet')")
+    (tmp_path / "file").mkdir()
+    con.execute(f"COPY documents TO '{tmp_path}/file/documents.parquet' (FORMAT parquet)")
+    want = sorted(con.execute(catalog.SQL["stream_index"]).fetchall())
+    assert len(want) > 5
+    for at in ("folder", "file"):
+        assert sorted(tuple(r) for r in catalog.QUERIES["stream_index"](spark, f"{tmp_path}/{at}").collect()) == want, at
+
+
 def test_store_stream_replays_and_tells_changes(spark, tmp_path):
     from lexiforge.streaming import incremental
 
