@@ -11,10 +11,11 @@ from lexiforge.operators import index, store
 STORE = "url string, source_name string, raw_html string, clean_text string, content_hash string, crawled_at long, created_at long"
 
 
-def index_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, stem: bool = False, files: str = "*.parquet") -> StreamingQuery:
+def index_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, stem: bool = False, files: str = "*.parquet", nested: bool = False) -> StreamingQuery:
     """Append (term, doc_id) of every new file of the folder ``source`` (names like ``files``) to ``out``.
 
     ``source`` may be a pattern; it then takes the files it matches and those in the folders it matches.
+    ``nested`` takes those of folders within too, as of a table written in partitions.
 
     A batch replayed after a failure overwrites its own folder, so postings are
     written exactly once; the checkpoint keeps which files are done.
@@ -23,7 +24,7 @@ def index_stream(spark: SparkSession, source: str, schema: str, out: str, checkp
     def append(batch: DataFrame, number: int) -> None:
         index.postings(batch, stem=stem).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(source)
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", files).option("recursiveFileLookup", nested).parquet(source)
     return docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -235,7 +235,8 @@ def test_index_stream_takes_a_file_or_a_folder(spark, tmp_path):
     con.execute(f"COPY documents TO '{tmp_path}/file/documents.parquet' (FORMAT parquet)")
     want = sorted(con.execute(catalog.SQL["stream_index"]).fetchall())
     assert len(want) > 5
-    for at in ("folder", "file"):
+    whole.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 2)).write.partitionBy("lang").parquet(f"{tmp_path}/partitions/documents.parquet")
+    for at in ("folder", "file", "partitions"):
         assert sorted(tuple(r) for r in catalog.QUERIES["stream_index"](spark, f"{tmp_path}/{at}").collect()) == want, at
 
 
